@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.leaks import leaked_items, reparameterised_items
 from quern.llm.tokenize import encode_ids
 from quern.sources.tables import table
 
@@ -12,6 +13,14 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_ids(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaked_items(table(spark, base, "documents"), table(spark, base, "eval_item"))
+
+
+def p7_reparameterised(spark: SparkSession, base: str) -> DataFrame:
+    return reparameterised_items(table(spark, base, "documents"), table(spark, base, "eval_item"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised}
 
 SQL: dict[str, str] = {}
