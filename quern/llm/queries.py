@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.leaks import leaked_items, reparameterised_items
+from quern.llm.shared_spans import shared_share, shared_spans
 from quern.llm.tokenize import encode_ids
 from quern.sources.tables import table
 
@@ -21,6 +22,14 @@ def p7_reparameterised(spark: SparkSession, base: str) -> DataFrame:
     return reparameterised_items(table(spark, base, "documents"), table(spark, base, "eval_item"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return shared_spans(table(spark, base, "documents"))
+
+
+def p8_shared_share(spark: SparkSession, base: str) -> DataFrame:
+    return shared_share(table(spark, base, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
 
 SQL: dict[str, str] = {}
