@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.leaks import leaked_items, reparameterised_items
+from quern.llm.neighbours import similar_pairs
 from quern.llm.shared_spans import shared_share, shared_spans
 from quern.llm.tokenize import encode_ids
 from quern.sources.tables import table
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return similar_pairs(table(spark, base, "chunk_record"))
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_ids(table(spark, base, "documents"), "doc_id", "text")
 
@@ -30,6 +35,6 @@ def p8_shared_share(spark: SparkSession, base: str) -> DataFrame:
     return shared_share(table(spark, base, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
+QUERIES = {q.__name__: q for q in (p2_found, p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
 
 SQL: dict[str, str] = {}
