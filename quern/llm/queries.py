@@ -3,18 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.leaks import leaked_items, reparameterised_items
+from quern.llm.lookalikes import consistent, consistent_sql, look_alike_classes, look_alike_pairs
 from quern.llm.neighbours import similar_pairs
+from quern.llm.pieces import split_oversized
 from quern.llm.shared_spans import shared_share, shared_spans
 from quern.llm.tokenize import encode_ids
 from quern.sources.tables import table
 
 
+def p1_pieces(spark: SparkSession, base: str) -> DataFrame:
+    return split_oversized(table(spark, base, "source_document"), ["load_no", "document_id"])
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return p1_pieces(spark, base).where(F.col("chunk_index") == 0).select("document_id", "cut_at").distinct()
+
+
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return similar_pairs(table(spark, base, "chunk_record"))
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return look_alike_pairs(table(spark, base, "source_document"))
+
+
+def p3_classes(spark: SparkSession, base: str) -> DataFrame:
+    return look_alike_classes(table(spark, base, "source_document"))
+
+
+def p3_normalised(spark: SparkSession, base: str) -> DataFrame:
+    return consistent(table(spark, base, "source_document").select("load_no", "title", "text"), ["title", "text"])
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_ids(table(spark, base, "documents"), "doc_id", "text")
 
@@ -35,6 +58,34 @@ def p8_shared_share(spark: SparkSession, base: str) -> DataFrame:
     return shared_share(table(spark, base, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
-
-SQL: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p3_normalised, p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
+
+_WS = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_FORMS = f"""
+forms AS (
+  SELECT DISTINCT 'title' AS field_name, title AS raw, {consistent_sql("title")} AS form, document_id AS id FROM source_document
+  UNION SELECT DISTINCT 'text', text, {consistent_sql("text")}, document_id FROM source_document),
+f AS (SELECT * FROM forms WHERE raw IS NOT NULL AND id IS NOT NULL)"""
+
+SQL: dict[str, str] = {
+    "p1_found": rf"""
+WITH t AS (SELECT DISTINCT document_id, text FROM source_document WHERE strlen(text) > 2380),
+u AS (
+  SELECT document_id,
+    regexp_replace(text, '\n{_WS}*\n', chr(1), 'g') AS p
+  FROM t),
+v AS (SELECT *, regexp_replace(p, '([.!?]){_WS}+([\p{{Lu}}\p{{Nd}}])', '\1' || chr(1) || '\2', 'g') AS s FROM u),
+w AS (
+  SELECT document_id,
+    list_max(list_transform(string_split(p, chr(1)), lambda x: strlen(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')))) AS para,
+    list_max(list_transform(string_split(s, chr(1)), lambda x: strlen(regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')))) AS sent,
+    list_max(list_transform(string_split_regex(s, '{_WS}+|' || chr(1)), lambda x: strlen(x))) AS word
+  FROM v)
+SELECT DISTINCT document_id, CASE WHEN para <= 2108 THEN 'paragraph' WHEN sent <= 2108 THEN 'sentence' WHEN word <= 2108 THEN 'word' ELSE 'character' END AS cut_at FROM w""",
+    "p3_found": f"""WITH {_FORMS}
+SELECT DISTINCT x.field_name, x.id AS document_id_a, y.id AS document_id_b FROM f x JOIN f y USING (field_name, form) WHERE x.id < y.id AND x.raw <> y.raw""",
+    "p3_classes": f"""WITH {_FORMS},
+g AS (SELECT field_name, form, min(id) AS class_id, count(DISTINCT raw) AS stored_forms, count(DISTINCT id) AS keys FROM f GROUP BY ALL)
+SELECT DISTINCT field_name, f.id AS document_id, class_id, stored_forms, keys FROM f JOIN g USING (field_name, form) WHERE stored_forms > 1 AND keys > 1""",
+    "p3_normalised": f"SELECT load_no, {consistent_sql('title')} AS title, {consistent_sql('text')} AS text FROM source_document",
+}
