@@ -2,8 +2,8 @@
 
 A vector is represented by the order of its nearest pivots, which are a bounded sample of the vectors themselves, so dense
 regions get more of them. Each vector is posted in the inverted files of the pairs among its first ``POSTED`` pivots;
-vectors that meet in a file are ranked by the footrule distance of their first ``PREFIX`` pivots, and the best are
-compared by their cosine. Equal directions are one class from the start; a class takes part once and its members share
+vectors that meet in a file are ranked by the footrule distance of their first ``PREFIX`` pivots, those within its reach
+are compared by a rounded cosine that travels with the posting, and what is left by the exact one. Equal directions are one class from the start; a class takes part once and its members share
 what it finds.
 """
 
@@ -31,7 +31,10 @@ LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
 _FITTED, _KEPT = 512, 0.998
 #: Files with more postings are split into blocks of so many, and the pairs of blocks are spread over tasks.
 FILE_ROWS = 4096
-_PAIRS = 1 << 21  # compared at once
+_PAIRS = 1 << 21  # footrule distances at once
+_DOTS = 1 << 17  # rounded cosines at once
+#: A rounded cosine (a byte a coordinate, scaled by the largest) is off by less than this.
+_ROUNDING = 0.01
 
 
 def _unit_vectors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -109,24 +112,30 @@ def _postings(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator
     for batch in batches:
         if not batch.num_rows:
             continue
-        order = prefixes(_matrix(batch.column(1)), pivots)
+        vectors = _matrix(batch.column(1))
+        order = prefixes(vectors, pivots)
+        scale = np.abs(vectors).max(1, keepdims=True) / 127
+        rounded = np.round(vectors / scale).astype(np.int8)
         sides = np.array(pairs)
         one, two = order[:, sides[:, 0]].astype(np.int64), order[:, sides[:, 1]].astype(np.int64)
         file = np.minimum(one, two) * (1 << 16) + np.maximum(one, two)
-        packed = [r.tobytes() for r in order]
+        packed = [o.tobytes() + c.tobytes() + r.tobytes() for o, c, r in zip(order, scale.astype(np.float32), rounded)]
         k = len(pairs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(file.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(packed)), k)))], ["file", "class", "order"]
         )
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """(a, b, d): of postings sorted by file, each vector's best partners in the file, within reach."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         file, side = table["file"].to_numpy(), table["side"].to_numpy()
         cls = table["class"].to_numpy()
-        order = np.frombuffer(b"".join(table["order"].to_pylist()), np.int16).reshape(len(file), -1)
+        packed = np.frombuffer(b"".join(table["order"].to_pylist()), np.uint8).reshape(len(file), -1)
+        order = np.ascontiguousarray(packed[:, : 2 * width]).view(np.int16)
+        scale = np.ascontiguousarray(packed[:, 2 * width : 2 * width + 4]).view(np.float32)[:, 0]
+        rounded = np.ascontiguousarray(packed[:, 2 * width + 4 :]).view(np.int8).astype(np.float32) * scale[:, None]
         first = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
         end = np.repeat(np.append(first[1:], len(file)), np.diff(np.append(first, len(file))))
         partners = end - np.arange(len(file)) - 1
@@ -143,6 +152,9 @@ def _ranked(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Record
             d = footrule(order[a], order[b])
             near = d <= reach
             a, b, d = a[near], b[near], d[near]
+            dots = [np.einsum("ij,ij->i", rounded[a[i : i + _DOTS]], rounded[b[i : i + _DOTS]]) for i in range(0, len(a), _DOTS)]
+            like = np.concatenate(dots) >= similarity - _ROUNDING if dots else np.zeros(0, bool)
+            a, b, d = a[like], b[like], d[like]
             if not len(a):
                 continue
             one, two, dist = np.concatenate([cls[a], cls[b]]), np.concatenate([cls[b], cls[a]]), np.concatenate([d, d])
@@ -213,10 +225,10 @@ def class_neighbours(vectors: DataFrame, k: int, similarity: float) -> DataFrame
     held = min(_FITTED, len(drawn) // 4)
     pivots, fitted = drawn[: len(drawn) - held], drawn[len(drawn) - held :]
     reach = fitted_reach(fitted, pivots, similarity)
-    sent = spark.sparkContext.broadcast(pivots)
+    sent, width = spark.sparkContext.broadcast(pivots), min(PREFIX, len(pivots))
 
     postings = vectors.select("class", "vec").mapInArrow(lambda b: _postings(b, sent.value), "file long, class long, order binary")
-    met = _split(postings).repartition("file").sortWithinPartitions("file").mapInArrow(lambda b: _ranked(b, reach), "a long, b long, d int")
+    met = _split(postings).repartition("file").sortWithinPartitions("file").mapInArrow(lambda b: _ranked(b, reach, width, similarity), "a long, b long, d int")
     best = Window.partitionBy("a").orderBy("d", "b")
     candidates = met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= SHORTLIST)
     # A pair counts for both of its ends, whichever had it in its list.
