@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import general, retrieval, scalars
+from quern.plans import collection, general, ingest, requests, retrieval, scalars
 
 FLAGSHIP = "p4_found"
-_PARTS = (general, scalars, retrieval)
+_PARTS = (general, scalars, retrieval, ingest, requests, collection)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
