@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quern.plans import collection, general, ingest, requests, retrieval, scalars
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "rrf_fusion_pool"
 _PARTS = (general, scalars, retrieval, ingest, requests, collection)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}

@@ -66,24 +66,24 @@ def pf15_path_dates(spark, base):
 def jn10_fetch_plan(spark, base):
     docs = _docs(spark, base).groupBy(F.col("document_id").alias("url")).agg(F.min("load_no").alias("n"), F.min("fetched_at").alias("lastmod"))
     hour = lambda h: F.expr(f"INTERVAL {h} HOURS")
-    seen = docs.where("n % 2 = 0").select("url", F.when(F.col("n") % 4 == 0, F.col("lastmod")).otherwise(F.col("lastmod") - hour(1)).alias("lastmod"))
-    cache = docs.where("n % 3 = 0").select("url", "lastmod", (F.col("lastmod") + hour(2)).alias("checked_at"))
+    seen = docs.select("url", F.when(F.col("n") % 4 == 0, F.col("lastmod")).otherwise(F.col("lastmod") - hour(1)).alias("lastmod"))
+    cache = docs.select("url", F.when(F.col("n") % 3 == 0, F.col("lastmod")).otherwise(F.col("lastmod") - hour(1)).alias("lastmod"), (F.col("lastmod") + hour(2)).alias("checked_at"))
     now, last = (F.lit(t).cast("timestamp_ntz") for t in ("2025-01-20 00:00:00", "2025-01-19 06:00:00"))
     start = collector.scan_start(F.lit("2025-01-01").cast("timestamp_ntz"), last, 48, F.lit(False))
     return collector.fetch_plan(docs.select("url", "lastmod"), seen, cache, now, last, start)
 
 
 def jn11_merge_counters(spark, base):
-    one = _docs(spark, base).groupBy("document_id").agg(F.min("load_no").alias("n"), F.min("title").alias("t"))
-    side = lambda rows, rev: rows.select(F.col("document_id").alias("key"), rev.alias("revision"), F.array((F.col("n") % 3).cast("string")).alias("aliases"))
-    old = side(one.where("n % 5 <> 0"), F.sha2("t", 256))
-    new = side(one.where("n % 5 <> 1").withColumn("n", F.col("n") + 1), F.when(F.col("n") % 7 == 0, "changed").otherwise(F.sha2("t", 256)))
-    return collector.merged(old, new).groupBy("state", F.array_join("aliases", ",").alias("aliases")).agg(F.count(F.lit(1)).alias("n"))
+    """Deliveries before a day are the index, those from then on what was found; the last of each counts."""
+    docs = _docs(spark, base).select(F.col("document_id").alias("key"), "fetched_at", F.col("revision"), F.col("canonical_url").alias("alias"), F.col("load_no").alias("n"))
+    side = lambda rows: rows.groupBy("key").agg(F.max_by("revision", "n").alias("revision"), F.array_sort(F.collect_set("alias")).alias("aliases"))
+    day = F.lit("2025-01-12").cast("timestamp_ntz")
+    return collector.merged(side(docs.where(F.col("fetched_at") < day)), side(docs.where(F.col("fetched_at") >= day))).select("key", "revision", F.array_join("aliases", ",").alias("aliases"), "state")
 
 
 def ag12_missing_months(spark, base):
-    days = table(spark, base, "orders").select(F.to_date("o_orderdate").alias("day")).where("month(day) <> 7")
-    return collector.missing_months(days, "day", F.lit("1995-01-05").cast("date"), F.lit("1996-12-01").cast("date"))
+    days = table(spark, base, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return collector.missing_months(days, "day", F.lit("1990-01-05").cast("date"), F.lit("2002-12-01").cast("date"))
 
 
 def sf15_topic_rules(spark, base):
@@ -174,11 +174,12 @@ SQL = {
     "jn10_fetch_plan": """WITH d AS (SELECT document_id AS url, min(load_no) AS n, min(fetched_at) AS m FROM source_document GROUP BY 1)
 SELECT url, m AS lastmod, CASE WHEN n % 4 = 0 AND m < TIMESTAMP '2025-01-17 06:00:00' THEN 'cached'
   WHEN n % 3 = 0 AND m + INTERVAL 2 HOUR <= TIMESTAMP '2025-01-20' AND m + INTERVAL 2 HOUR > TIMESTAMP '2025-01-19 06:00:00' THEN 'reusable' ELSE 'fetch' END AS action FROM d""",
-    "jn11_merge_counters": """WITH d AS (SELECT document_id, min(load_no) AS n, min(title) AS t FROM source_document GROUP BY 1),
-j AS (SELECT n, CASE WHEN n % 5 = 0 THEN 'new' WHEN n % 5 = 1 THEN 'kept' WHEN (n + 1) % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS state FROM d)
-SELECT state, CASE state WHEN 'kept' THEN CAST(n % 3 AS VARCHAR) WHEN 'new' THEN CAST((n + 1) % 3 AS VARCHAR) ELSE least(n % 3, (n + 1) % 3) || ',' || greatest(n % 3, (n + 1) % 3) END AS aliases, count(*) AS n FROM j GROUP BY ALL""",
-    "ag12_missing_months": """SELECT CAST(m AS DATE) AS month FROM generate_series(DATE '1995-01-01', DATE '1996-12-01', INTERVAL 1 MONTH) AS r(m)
-WHERE CAST(m AS DATE) NOT IN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) FROM orders WHERE month(o_orderdate) <> 7)""",
+    "jn11_merge_counters": """WITH s AS (SELECT document_id AS key, fetched_at >= TIMESTAMP '2025-01-12' AS late, max_by(revision, load_no) AS revision, list(DISTINCT canonical_url) AS l FROM source_document GROUP BY ALL),
+o AS (SELECT * FROM s WHERE NOT late), f AS (SELECT * FROM s WHERE late)
+SELECT coalesce(o.key, f.key) AS key, CASE WHEN f.key IS NULL THEN o.revision ELSE f.revision END AS revision, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.l, []), coalesce(f.l, [])))), ',') AS aliases,
+  CASE WHEN f.key IS NULL THEN 'kept' WHEN o.key IS NULL THEN 'new' WHEN o.revision IS NOT DISTINCT FROM f.revision THEN 'unchanged' ELSE 'updated' END AS state FROM o FULL JOIN f ON o.key = f.key""",
+    "ag12_missing_months": """SELECT CAST(m AS DATE) AS month FROM generate_series(DATE '1990-01-01', DATE '2002-12-01', INTERVAL 1 MONTH) AS r(m)
+WHERE CAST(m AS DATE) NOT IN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) FROM orders)""",
     "sf15_topic_rules": """WITH h AS (SELECT doc_id, regexp_matches(lower(text), 'gjykat|court|tribunal|gericht') AS a, regexp_matches(lower(text), 'euro|fund|fond') AS b, regexp_matches(lower(text), 'protest|marsh') AS c FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(CASE WHEN a THEN 40 + 10 * (CAST(b AS INT) + CAST(c AS INT)) ELSE 0 END AS BIGINT) AS score, CASE WHEN a THEN concat_ws(',', 'court', CASE WHEN b THEN 'money' END, CASE WHEN c THEN 'protest' END) ELSE '' END AS topics FROM h""",
     "ag9_peak_summary": """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), v AS (SELECT event_type, day, CASE WHEN n % 5 > 0 THEN n END AS value FROM d),

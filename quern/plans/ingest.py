@@ -28,13 +28,16 @@ def ag1_content_hash_counts(spark, base):
 
 
 def ag3_removed_multiset(spark, base):
-    rows = table(spark, base, "chunk_record")
-    return ingest.removed_hashes(rows.where("chunk_index % 5 <> 0"), rows.where("chunk_index % 5 <> 1"))
+    """Contents of superseded generations that are rarer in active ones."""
+    status = table(spark, base, "generation_manifest").select("generation_id", "status")
+    rows = table(spark, base, "chunk_snapshot").select("generation_id", "content_hash").join(status, "generation_id")
+    return ingest.removed_hashes(rows.where("status = 'superseded'"), rows.where("status = 'active'"))
 
 
 def jn2_embedding_reuse(spark, base):
+    """Every stored chunk anew: its content has a usable embedding already, in whichever row, or is pending."""
     rows = table(spark, base, "chunk_record")
-    plan = ingest.reuse_plan(rows.where("chunk_index % 5 <> 1").select("chunk_id", "content_hash", "source_id"), rows.where("chunk_index % 5 <> 0"), 64)
+    plan = ingest.reuse_plan(rows.select("chunk_id", "content_hash", "source_id"), rows, 64)
     return plan.groupBy("source_id", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,7 +110,8 @@ QUERIES = {f.__name__: f for f in (
     ag2_documents_per_source, pf17_outcomes, ag16_representative, jn1_nested_relations, jn13_reuse_contract, jn12_active_chunks, sk9_generation_id, so1_document_order, ag14_chunk_sizes,
 )}
 
-_ACTIVE, _CURRENT = "(SELECT * FROM chunk_record WHERE chunk_index % 5 <> 0)", "(SELECT * FROM chunk_record WHERE chunk_index % 5 <> 1)"
+_GENERATIONS = "(SELECT content_hash FROM chunk_snapshot s JOIN generation_manifest m USING (generation_id) WHERE status = '{}' AND content_hash IS NOT NULL)"
+_ACTIVE, _CURRENT = _GENERATIONS.format("superseded"), _GENERATIONS.format("active")
 _WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 SQL = {
@@ -122,7 +126,7 @@ SELECT load_no, c AS chunk_index, max(strlen(cur)) AS bytes, sha256(max_by(cur,
     "ag1_content_hash_counts": "SELECT content_hash, count(*) AS n FROM chunk_record WHERE content_hash IS NOT NULL GROUP BY 1",
     "ag3_removed_multiset": f"""WITH a AS (SELECT content_hash, count(*) AS n FROM {_ACTIVE} WHERE content_hash IS NOT NULL GROUP BY 1), c AS (SELECT content_hash, count(*) AS n FROM {_CURRENT} GROUP BY 1)
 SELECT a.content_hash, a.n - coalesce(c.n, 0) AS removed FROM a LEFT JOIN c USING (content_hash) WHERE a.n > coalesce(c.n, 0)""",
-    "jn2_embedding_reuse": f"""SELECT source_id, CASE WHEN content_hash IN (SELECT content_hash FROM {_ACTIVE} WHERE content_hash IS NOT NULL AND len(embedding) = 64) THEN 'reused' ELSE 'pending' END AS state, count(*) AS n FROM {_CURRENT} GROUP BY ALL""",
+    "jn2_embedding_reuse": f"""SELECT source_id, CASE WHEN content_hash IN (SELECT content_hash FROM chunk_record WHERE content_hash IS NOT NULL AND len(embedding) = 64) THEN 'reused' ELSE 'pending' END AS state, count(*) AS n FROM chunk_record GROUP BY ALL""",
     "ag4_group_digest": "SELECT source_id, count(revision) AS n, sha256(string_agg(revision, chr(10) ORDER BY revision)) AS digest FROM source_document GROUP BY 1",
     "jn9_missing_sources": "SELECT source_id FROM source_catalog WHERE source_id NOT IN (SELECT source_id FROM source_document WHERE content_type = 'pdf')",
     "ag2_documents_per_source": "SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS deliveries FROM source_document GROUP BY 1",

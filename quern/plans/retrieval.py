@@ -63,7 +63,7 @@ def recency_bonus_rank(spark, base):
 
 def anchors_override_pool(spark, base):
     pool = _documents_hit(spark, base).withColumn("item", F.coalesce(F.nullif("record_id", F.lit("")), "title"))
-    return r.anchored(pool, pool.where("chunk_id % 6 = 0")).withColumn("place", F.col("place").cast("bigint"))
+    return r.anchored(pool, pool.where("source_id = 3")).withColumn("place", F.col("place").cast("bigint"))
 
 
 def metadata_clause_match(spark, base):
@@ -81,12 +81,12 @@ def reference_suppression(spark, base):
 
 def citations_render(spark, base):
     docs = table(spark, base, "source_document")
-    few = docs.where("load_no % 50 < 4").select(F.floor(F.col("load_no") / 50).alias("request_id"), (F.col("load_no") % 50 + 1).alias("place"), "title", F.col("canonical_url").alias("url"), F.col("source_label").alias("source"))
+    few = docs.select(F.floor(F.col("load_no") / 50).alias("request_id"), (F.col("load_no") % 50 + 1).alias("place"), "title", F.col("canonical_url").alias("url"), F.col("source_label").alias("source"))
     return r.cited(few)
 
 
 def evidence_blocks(spark, base):
-    docs = table(spark, base, "source_document").where("load_no % 50 < 4")
+    docs = table(spark, base, "source_document")
     few = docs.select(F.floor(F.col("load_no") / 50).alias("request_id"), (F.col("load_no") % 50 + 1).alias("place"), "title", F.col("canonical_url").alias("url"), F.col("legal_status").alias("status"), "text")
     return r.evidence(few).select("request_id", F.sha2("evidence", 256).alias("h"))
 
@@ -147,16 +147,16 @@ o AS (SELECT *, row_number() OVER (PARTITION BY request_id, u ORDER BY distance,
 SELECT request_id, chunk_id, distance, row_number() OVER (PARTITION BY request_id ORDER BY distance, chunk_id) AS place FROM o WHERE x = 1""",
     "recency_bonus_rank": """SELECT * FROM (SELECT doc_id, round(CASE WHEN CAST(published_at AS DATE) <= DATE '2024-06-30' THEN 0.08::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (DATE '2024-06-30' - CAST(published_at AS DATE)) / 30.0::DOUBLE) ELSE 0 END, 6) AS bonus FROM documents) WHERE bonus > 0""",
     "anchors_override_pool": _DOCS
-    + """, an AS (SELECT * FROM docs WHERE chunk_id % 6 = 0),
+    + """, an AS (SELECT * FROM docs WHERE source_id = 3),
 b AS (SELECT request_id, chunk_id, 0 AS p, distance FROM an UNION ALL SELECT request_id, chunk_id, 1, distance FROM docs d WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.request_id = d.request_id AND an.source_id = d.source_id AND an.item = d.item)),
 c AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p, distance, chunk_id) AS place FROM b) SELECT request_id, chunk_id, place FROM c WHERE place <= 20""",
     "metadata_clause_match": """WITH m AS (SELECT 1 AS clause_id, load_no FROM source_document WHERE title >= 'Open' AND title < 'Open' || chr(63743)
 UNION ALL SELECT 2, load_no FROM source_document WHERE content_type = 'news' AND language = 'sq' UNION ALL SELECT 3, load_no FROM source_document WHERE content_type = 'map')
 SELECT clause_id, load_no FROM (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY load_no) AS x FROM m) WHERE x <= 32""",
     "reference_suppression": "SELECT doc_id FROM documents d WHERE text IS NOT NULL AND NOT (doc_id % 2 = 0 AND EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 1 AND x.text = d.text))",
-    "citations_render": "SELECT load_no // 50 AS request_id, 'S' || (load_no % 50 + 1) AS citation, title, canonical_url AS url, source_label AS source FROM source_document WHERE load_no % 50 < 4",
+    "citations_render": "SELECT load_no // 50 AS request_id, 'S' || (load_no % 50 + 1) AS citation, title, canonical_url AS url, source_label AS source FROM source_document",
     "evidence_blocks": """SELECT load_no // 50 AS request_id, sha256(string_agg('[S' || (load_no % 50 + 1) || ']' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'URL: ' || canonical_url || chr(10) || 'Status: ' || coalesce(legal_status, 'Not specified') || chr(10) || '<evidence>' || chr(10) || text || chr(10) || '</evidence>', chr(10) || chr(10) ORDER BY load_no)) AS h
-FROM source_document WHERE load_no % 50 < 4 GROUP BY 1""",
+FROM source_document GROUP BY 1""",
     "selection_by_label": _FUSED + " SELECT request_id, chunk_id, CASE place WHEN 3 THEN CAST(1 AS BIGINT) ELSE 2 END AS place FROM pool p WHERE place IN (1, 3) AND EXISTS (SELECT 1 FROM pool x WHERE x.request_id = p.request_id AND x.place = 3)",
     "plan_bounds": """WITH p AS (SELECT item_id, trim(question[:600], ' ') AS a, trim((CASE WHEN item_id % 2 = 0 THEN question ELSE question || ' ' || passage END)[:600], ' ') AS b FROM eval_item),
 q AS (SELECT item_id, list_filter(CASE WHEN a IS NOT DISTINCT FROM b THEN [a] ELSE [a, b] END, lambda x: x IS NOT NULL AND x <> '') AS l, item_id % 3 > 0 AND item_id % 4 <> 0 AND item_id % 5 <> 0 AS recent FROM p)
