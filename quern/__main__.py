@@ -1,28 +1,24 @@
-"""``python -m quern list``, ``run QUERY TABLES OUT`` and ``explain QUERY TABLES``."""
+"""``python -m quern list``, ``run QUERY TABLES OUT`` and ``explain QUERY TABLES``; ``--also MODULE`` adds a module's QUERIES."""
 
 from __future__ import annotations
 
 import argparse
-import importlib.util
+import importlib
 
 from quern.plans import catalog
 
 
-def _queries() -> dict:
-    known = dict(catalog.QUERIES)
-    if importlib.util.find_spec("quern.llm") is not None:
-        known |= importlib.import_module("quern.llm.queries").QUERIES
-    return known
-
-
 def main() -> None:
     parser = argparse.ArgumentParser(prog="quern", description=__doc__)
     parser.add_argument("command", choices=("list", "run", "explain"))
     parser.add_argument("query", nargs="?")
     parser.add_argument("tables", nargs="?")
     parser.add_argument("out", nargs="?")
+    parser.add_argument("--also", action="append", default=[], metavar="MODULE")
     args = parser.parse_args()
-    known = _queries()
+    known = dict(catalog.QUERIES)
+    for module in args.also:
+        known |= importlib.import_module(module).QUERIES
     if args.command == "list":
         print("\n".join(sorted(known)))
         return
