@@ -4,8 +4,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from quern.operators.admission import sliding_log, window_counts
-from quern.streaming.admission import first_seen_stream, sliding_log_stream, window_counts_stream
+from quern.operators.admission import coupled_windows, sliding_log, window_counts
+from quern.streaming.admission import coupled_windows_stream, first_seen_stream, sliding_log_stream, window_counts_stream
 from quern.streaming.collect import merge_batches, read_index
 
 
@@ -28,6 +28,8 @@ def test_admission_streams(spark, tmp_path):
     stream = landed(spark, tmp_path, df, 3)
     got = run(sliding_log_stream(stream, 3, 7200), tmp_path, "log")
     assert sorted(map(tuple, got.select("event_id", "allowed").collect())) == sorted(map(tuple, sliding_log(df, 3, 7200).collect()))
+    both = run(coupled_windows_stream(stream, 1, 20), tmp_path, "both")
+    assert sorted(map(str, both.select("event_id", "allowed", "scope").collect())) == sorted(map(str, coupled_windows(df, 1, 20).select("event_id", "allowed", "scope").collect()))
     closed = {tuple(r) for r in run(window_counts_stream(stream, 3600, "1 minute"), tmp_path, "counts").collect()}
     every = {tuple(r) for r in window_counts(df, 3600).collect()}
     assert closed and closed <= every and len(every - closed) <= 8
