@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the directory ``base``."""
+    ship_package(spark)
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
@@ -30,6 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_file(spark: SparkSession, content: bytes, name: str) -> str:
+    """Put a file of bounded size into the shared folder, if it isn't there; its address."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        beside = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}-{uuid.uuid4().hex}")
+        stream = fs.create(beside, True)
+        stream.write(bytearray(content))
+        stream.close()
+        fs.rename(beside, path)
+    return fs.makeQualified(path).toString()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Have every Python worker of the session find this package, wherever it was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    root, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{file.relative_to(root).as_posix()}"), file.read_bytes())
+    content = packed.getvalue()
+    sc.addPyFile(shared_file(spark, content, f"quern-{hashlib.sha256(content).hexdigest()[:16]}.zip"))
+    sc._quern_shipped = True
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later stages neither recompute it nor
     depend on the executors that made it."""
