@@ -95,15 +95,22 @@ def look_alike_pairs(df: DataFrame, key: str = "document_id", fields: tuple[str,
     look_alike_classes gives all groups whole, whatever their size.
     """
     rows = _several(_rows(df, key, list(fields)))
+    # Window limits go below the shuffle, so that no task ranks a whole group of copies.
     in_raw = Window.partitionBy(*_FORM, "raw").orderBy("id")
     in_form = Window.partitionBy(*_FORM).orderBy("raw")
-    ranked = rows.withColumn("copy", F.row_number().over(in_raw)).withColumn("variant", F.dense_rank().over(in_form))
-    # Every row meets the first rows of other variants; a row beyond a bound meets only the very first.
-    one, two = ranked.alias("x"), ranked.where(F.col("copy") <= MOST_COPIES).where(F.col("variant") <= MOST_VARIANTS).alias("y")
-    met = one.join(two, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in _FORM] + [F.col("x.raw") != F.col("y.raw"), F.col("x.id") != F.col("y.id")])
-    met = met.where((F.col("x.copy") <= MOST_COPIES) | (F.col("y.copy") == 1)).where((F.col("x.variant") <= MOST_VARIANTS) | (F.col("y.variant") == 1))
-    a, b = F.col("x.id"), F.col("y.id")
-    return met.select(F.col("x.field_name").alias("field_name"), F.least(a, b).alias(f"{key}_a"), F.greatest(a, b).alias(f"{key}_b")).distinct()
+    firsts = rows.withColumn("copy", F.row_number().over(in_raw)).where(F.col("copy") <= MOST_COPIES)
+    variants = rows.groupBy(*_FORM, "raw").agg(F.min("id").alias("id")).withColumn("variant", F.row_number().over(in_form)).where(F.col("variant") <= MOST_VARIANTS)
+    few = firsts.join(variants.select(*_FORM, "raw"), [*_FORM, "raw"])
+    within = rows.join(variants.select(*_FORM, "raw"), [*_FORM, "raw"])
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        x, y = one.alias("x"), two.alias("y")
+        found = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in _FORM] + [F.col("x.raw") != F.col("y.raw"), F.col("x.id") != F.col("y.id")])
+        a, b = F.col("x.id"), F.col("y.id")
+        return found.select(F.col("x.field_name").alias("field_name"), F.least(a, b).alias(f"{key}_a"), F.greatest(a, b).alias(f"{key}_b"))
+
+    pairs = met(few, few).unionByName(met(within, variants)).unionByName(met(rows, variants.where("variant = 1")))
+    return pairs.distinct()
 
 
 def look_alike_classes(df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
