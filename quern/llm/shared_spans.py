@@ -117,8 +117,11 @@ def recurring_phrases(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(lo, hi, phrases, hot): a row for each text with phrases that another text has, too. lo and hi are the least and
     greatest of its doc_ids; hot are those of its phrases that stand in more than ``hot_texts`` texts."""
     found = docs.mapInArrow(_phrases, "phrase long, digest long, lo long, hi long")
-    of_text = found.repartition("phrase").groupBy("phrase", "digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counted = of_text.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("phrase"))).where(F.col("__n") > 1)
+    # Combined before each shuffle; the join of a phrase that very many texts have can be split, which a window can't.
+    of_text = found.groupBy("phrase", "digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # The second condition always holds: it asks for the same columns as the join, so that both share one shuffle.
+    recurring = of_text.groupBy("phrase").agg(F.count(F.lit(1)).alias("__n"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi")).where("__n > 1 AND __hi >= __lo").select("phrase", "__n")
+    counted = of_text.join(recurring, "phrase")
     return counted.groupBy("digest").agg(
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),

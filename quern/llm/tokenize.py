@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.codepoints import LETTER, NUMBER, OTHER, SPACE, Texts, classes, hashes, texts_of
 from quern.llm.lexicon import compiled, opened
-from quern.sources.tables import shared_dir
+from quern.sources.tables import shared_file
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How many of the most frequent words the lexicon holds: a bound on its memory that no result depends on.
@@ -148,14 +148,7 @@ def frequent_words(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> Data
 def publish_file(spark: SparkSession, content: bytes, label: str) -> str:
     """Put a file of bounded size into the shared folder and have every executor fetch it; its name for SparkFiles."""
     name = f"{label}-{hashlib.sha256(content).hexdigest()[:24]}.bin"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        stream = fs.create(path, True)
-        stream.write(bytearray(content))
-        stream.close()
-    spark.sparkContext.addFile(path.toUri().toString() if path.toUri().getScheme() else f"file://{path}")
+    spark.sparkContext.addFile(shared_file(spark, content, name))
     return name
 
 
