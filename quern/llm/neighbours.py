@@ -158,6 +158,10 @@ def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarit
             if not len(a):
                 continue
             one, two, dist = np.concatenate([cls[a], cls[b]]), np.concatenate([cls[b], cls[a]]), np.concatenate([d, d])
+            # A pair that meets in several of these files counts once.
+            o = np.lexsort((two, one))
+            o = o[np.append(True, (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1]))]
+            one, two, dist = one[o], two[o], dist[o]
             o = np.lexsort((two, dist, one))
             one, two, dist = one[o], two[o], dist[o]
             starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))

@@ -82,6 +82,25 @@ w AS (
     list_max(list_transform(string_split_regex(s, '{_WS}+|' || chr(1)), lambda x: strlen(x))) AS word
   FROM v)
 SELECT DISTINCT document_id, CASE WHEN para <= 2108 THEN 'paragraph' WHEN sent <= 2108 THEN 'sentence' WHEN word <= 2108 THEN 'word' ELSE 'character' END AS cut_at FROM w""",
+    "p2_found": """
+WITH v AS (SELECT DISTINCT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM chunk_record
+  WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM t WHERE r <= 5 AND c >= 0.9""",
+    "p7_found": r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, question AS t FROM eval_item UNION ALL SELECT item_id, passage FROM eval_item) WHERE t IS NOT NULL),
+dw AS (SELECT DISTINCT id, array_to_string(w[k:k + 12], ' ') AS x FROM d, unnest(range(1, len(w) - 11)) AS r(k)),
+iw AS (SELECT DISTINCT id, array_to_string(w[k:k + 12], ' ') AS x FROM i, unnest(range(1, len(w) - 11)) AS r(k))
+SELECT DISTINCT dw.id AS doc_id, iw.id AS item_id FROM dw JOIN iw USING (x)""".replace("\\\\", "\\"),
+    "p8_found": """
+WITH w AS (SELECT doc_id, k, md5(substr(text, k + 1, 360)) AS h FROM documents, unnest(range(0, length(text) - 359)) AS r(k) WHERE length(text) >= 360),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT DISTINCT doc_id, k FROM w SEMI JOIN s USING (h)),
+n AS (SELECT *, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 360 THEN 1 ELSE 0 END AS fresh FROM m),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM n)
+SELECT doc_id, CAST(min(k) AS INTEGER) AS span_start, CAST(max(k) + 360 AS INTEGER) AS span_end FROM g GROUP BY doc_id, run""",
     "p3_found": f"""WITH {_FORMS}
 SELECT DISTINCT x.field_name, x.id AS document_id_a, y.id AS document_id_b FROM f x JOIN f y USING (field_name, form) WHERE x.id < y.id AND x.raw <> y.raw""",
     "p3_classes": f"""WITH {_FORMS},
