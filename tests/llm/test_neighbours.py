@@ -50,6 +50,14 @@ def test_recall(spark, monkeypatch, file_rows):
     assert len(set(found) - want) <= 0.01 * len(want)
 
 
+def test_repeated_meetings_do_not_crowd_out(spark):
+    """Few vectors in large tight groups meet in many files at once, all in one task."""
+    rows = made(4, 40, 14, 0.2) + [(f"y{i}", e) for i, e in made(5, 300, 1, 0.0)]
+    df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA).coalesce(1)
+    want, found = brute(rows), set(map(tuple, similar_pairs(df).collect()))
+    assert len(want & found) >= 0.97 * len(want)
+
+
 def test_copies_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     v = [float(x) for x in rng.standard_normal(64).astype(np.float32)]
