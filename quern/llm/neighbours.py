@@ -3,8 +3,10 @@
 A vector is represented by the order of its nearest pivots, which are a bounded sample of the vectors themselves, so dense
 regions get more of them. Each vector is posted in the inverted files of the pairs among its first ``POSTED`` pivots;
 vectors that meet in a file are ranked by the footrule distance of their first ``PREFIX`` pivots, those within its reach
-are compared by a rounded cosine that travels with the posting, and what is left by the exact one. Equal directions are one class from the start; a class takes part once and its members share
-what it finds.
+are compared by a rounded cosine that travels with the posting, and what is left by the exact one. A vector that meets more
+than ``SHORTLIST`` such partners lies in a crowd, where the order of pivots tells too little: crowds are covered by leaders,
+and every vector near a leader is compared with all that can be similar to it. Equal directions are one class from the
+start; a class takes part once and its members share what it finds.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from quern.sources.tables import broadcast_if_bounded, stage_table
 
 #: Of how many pivots the pairs are posted, and how many count for the footrule distance.
 POSTED, PREFIX = 7, 12
-#: Candidates of each vector that are compared by their cosine.
+#: Partners up to which a vector's candidates are those it meets; with more of them it is compared exactly, see _crowded_pairs.
 SHORTLIST = 24
 #: Pivots: four times the root of the number of vectors, so that files stay as long whatever that is; within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
@@ -35,6 +37,11 @@ _PAIRS = 1 << 21  # footrule distances at once
 _DOTS = 1 << 17  # rounded cosines at once
 #: A rounded cosine (a byte a coordinate, scaled by the largest) is off by less than this.
 _ROUNDING = 0.01
+#: Every crowded vector has a leader with at least this cosine; leaders are chosen from so many crowded vectors at a time.
+_COVER, _DRAWN = 0.85, 4096
+#: Vectors of a leader that one task compares at once, with how many others at once, and pairs kept of each beyond k: float32
+#: is off by less than _SINGLE.
+ASKED, _OTHERS, _SPARE, _SINGLE = 8192, 1024, 3, 1e-5
 
 
 def _unit_vectors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +134,7 @@ def _postings(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, d): of postings sorted by file, each vector's best partners in the file, within reach."""
+    """(a, b, d): of postings sorted by file, each vector's partners in the file, within reach: all of them, or one more than SHORTLIST."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         file, side = table["file"].to_numpy(), table["side"].to_numpy()
@@ -166,7 +173,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarit
             one, two, dist = one[o], two[o], dist[o]
             starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
             rank = np.arange(len(one)) - np.repeat(starts, np.diff(np.append(starts, len(one))))
-            top = rank < SHORTLIST
+            top = rank <= SHORTLIST
             yield pa.RecordBatch.from_arrays([pa.array(one[top]), pa.array(two[top]), pa.array(dist[top].astype(np.int32))], ["a", "b", "d"])
 
     kept: list[pa.RecordBatch] = []
@@ -209,6 +216,114 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["a", "b", "similarity"])
 
 
+def _uncovered(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            vectors, step = _matrix(batch.column(1)), max(1, (1 << 24) // len(leaders))
+            best = [(vectors[a : a + step] @ leaders.T).max(1) for a in range(0, len(vectors), step)]
+            yield batch.filter(pa.array(np.concatenate(best) < _COVER))
+
+
+def _leaders(crowded: DataFrame) -> np.ndarray:
+    """Some of (class, vec), so that each has one with a cosine of at least _COVER; an empty array of none. Their number is
+    that of the crowds, not of their members."""
+    sc = crowded.sparkSession.sparkContext
+    chosen: list[np.ndarray] = []
+    rest = crowded
+
+    def left(leaders) -> DataFrame:
+        return crowded.mapInArrow(lambda b: _uncovered(b, leaders.value), "class long, vec binary")
+
+    while drawn := rest.orderBy(F.xxhash64("class"), "class").limit(_DRAWN).select("vec").collect():
+        sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in drawn), np.float32).reshape(len(drawn), -1)
+        while len(sample):
+            chosen.append(sample[0])
+            sample = sample[1:][sample[1:] @ sample[0] < _COVER]
+        rest = left(sc.broadcast(np.array(chosen)))
+    return np.array(chosen)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], leaders: np.ndarray, ring: float) -> Iterator[pa.RecordBatch]:
+    """(leader, class, vec, asks): each vector near a leader asks in the cell of the nearest, and answers in every cell whose
+    leader has at least the cosine ``ring`` to it."""
+    for batch in batches:
+        step = max(1, (1 << 24) // len(leaders))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            near = _matrix(part.column(1)) @ leaders.T
+            own = near.argmax(1)
+            asking = np.flatnonzero(near[np.arange(len(own)), own] >= _COVER)
+            row, cell = np.nonzero(near >= ring)
+            rows = pa.array(np.concatenate([asking, row]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([own[asking], cell]).astype(np.int32)), part.column(0).take(rows), part.column(1).take(rows), pa.array(np.arange(len(rows)) < len(asking))], ["leader", "class", "vec", "asks"]
+            )
+
+
+def _answered(batches: Iterator[pa.RecordBatch], most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): for each vector that asks, the ``most`` best of those that answer; rows are sorted by cell, asking ones first."""
+    cell, asked, ids = None, [], []
+    vectors = classes = scores = best = None
+
+    def gathered() -> None:
+        nonlocal vectors, classes, scores, best
+        classes = np.concatenate(ids)
+        by = np.argsort(classes)
+        vectors, classes = np.concatenate(asked)[by], classes[by]
+        scores, best = np.full((len(classes), most), -2, np.float32), np.zeros((len(classes), most), np.int64)
+
+    def answers(other: np.ndarray, named: np.ndarray) -> None:
+        found = vectors @ other.T
+        at = np.minimum(np.searchsorted(classes, named), len(classes) - 1)
+        own = np.flatnonzero(classes[at] == named)
+        found[at[own], own] = -2
+        rows = np.flatnonzero((found > np.maximum(scores.min(1), similarity - _SINGLE)[:, None]).any(1))
+        every, names = np.concatenate([scores[rows], found[rows]], 1), np.concatenate([best[rows], np.broadcast_to(named, (len(rows), len(named)))], 1)
+        top = np.argpartition(-every, most - 1, axis=1)[:, :most]
+        scores[rows], best[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+
+    def result() -> Iterator[pa.RecordBatch]:
+        if scores is not None:
+            row, place = np.nonzero(scores >= similarity - _SINGLE)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[row]), pa.array(best[row, place])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every, cells, asks, named = _matrix(batch.column(2)), batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+        edges = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])))
+        for a, end in zip(edges, np.append(edges[1:], len(cells))):
+            if cells[a] != cell:
+                yield from result()
+                cell, asked, ids, scores = cells[a], [], [], None
+            if asks[a]:
+                asked.append(every[a:end])
+                ids.append(named[a:end])
+                continue
+            if scores is None and asked:
+                gathered()
+            for n in range(a, end, _OTHERS) if asked else ():
+                answers(every[n : min(end, n + _OTHERS)], named[n : min(end, n + _OTHERS)])
+    yield from result()
+
+
+def _crowded_pairs(vectors: DataFrame, crowded: DataFrame, k: int, similarity: float) -> DataFrame | None:
+    """(a, b): for every vector with a cosine of at least _COVER to a leader of the crowds, all its k most similar others,
+    none of them left out: what is similar to it lies, by the angles, within their sum of its leader. None without crowds."""
+    leaders = _leaders(crowded)
+    if not len(leaders):
+        return None
+    ring = math.cos(min(math.pi, math.acos(_COVER) + math.acos(similarity) + 1e-3))
+    sent = vectors.sparkSession.sparkContext.broadcast(leaders)
+    cells = stage_table(vectors.select("class", "vec").mapInArrow(lambda b: _cells(b, sent.value, ring), "leader int, class long, vec binary, asks boolean"), "cells")
+    blocks = cells.where("asks").groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks"))
+    block = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = cells.join(broadcast_if_bounded(blocks, 32), "leader").select("leader", F.explode(block).alias("block"), "class", "vec", "asks")
+    keyed = spread.select((F.col("leader").cast("long") * (1 << 31) + F.col("block")).alias("cell"), "class", "vec", "asks")
+    sorted_cells = keyed.repartition("cell").sortWithinPartitions("cell", F.desc("asks"))
+    return sorted_cells.mapInArrow(lambda b: _answered(b, k + _SPARE, similarity), "a long, b long")
+
+
 def direction_classes(df: DataFrame, key: str, embedding: str, width: int) -> DataFrame:
     """(id, class, vec): the rows that have a direction. Rows with a null id or an embedding that is null, all zero, not
     ``width`` wide or holds a null, NaN or infinity take no part."""
@@ -234,7 +349,15 @@ def class_neighbours(vectors: DataFrame, k: int, similarity: float) -> DataFrame
     postings = vectors.select("class", "vec").mapInArrow(lambda b: _postings(b, sent.value), "file long, class long, order binary")
     met = _split(postings).repartition("file").sortWithinPartitions("file").mapInArrow(lambda b: _ranked(b, reach, width, similarity), "a long, b long, d int")
     best = Window.partitionBy("a").orderBy("d", "b")
-    candidates = met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= SHORTLIST)
+    listed = met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHORTLIST + 1)
+    listed = stage_table(listed.select("a", "b", "rank"), "listed")
+    # The list of a crowded vector is not whole: all of its similar ones are looked for.
+    over = listed.where(F.col("rank") > SHORTLIST).select("a")
+    crowded = stage_table(vectors.join(over, F.col("class") == F.col("a"), "left_semi").select("class", "vec"), "crowded")
+    candidates = listed.join(over, "a", "left_anti").select("a", "b")
+    exact = _crowded_pairs(vectors, crowded, k, similarity)
+    if exact is not None:
+        candidates = candidates.unionByName(exact)
     # A pair counts for both of its ends, whichever had it in its list.
     once = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = vectors.select(F.col("class").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("class").alias("b"), F.col("vec").alias("vb"))

@@ -58,6 +58,20 @@ def test_repeated_meetings_do_not_crowd_out(spark):
     assert len(want & found) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("asked", [8192, 64])
+def test_crowds_are_whole(spark, monkeypatch, asked):
+    """Groups with many more partners than a list holds, one of them a third of all rows, and one a tight ball."""
+    monkeypatch.setattr(neighbours, "ASKED", asked)
+    groups = [made(6, 4, 50, 0.2), made(7, 1, 700, 0.2), made(8, 1, 300, 0.3), made(9, 1, 200, 0.02), made(10, 700, 1, 0.0)]
+    rows = [(f"{n}{i}", e) for n, g in enumerate(groups) for i, e in g]
+    df = spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA).repartition(4)
+    want, found = brute(rows), set(map(tuple, similar_pairs(df).collect()))
+    for n in range(4):
+        own = {p for p in want if p[0][0] == str(n)}
+        assert len(own) > 400 and len(own & found) >= 0.998 * len(own)
+    assert len(found - want) <= 0.002 * len(want)
+
+
 def test_copies_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     v = [float(x) for x in rng.standard_normal(64).astype(np.float32)]
