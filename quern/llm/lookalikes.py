@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.tables import broadcast_if_bounded, stage_table
+
 # Letters of other scripts that look like the Latin ones under them, also with their own accents.
 _CYRILLIC = "АВЕЅІЇЈКМНОРСТУХЁЀаеѕіїјорсухёѐһԁԛԝүҮӏ"
 _C_LATIN = "ABESIÏJKMHOPCTYXËÈaesiïjopcyxëèhdqwyYl"
@@ -19,7 +21,7 @@ _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 # Kinds of single blanks; invisible characters as a class of regular expressions.
 _BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 _INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
-#: Members of a class of copies that are paired with each other class's in full, and variants of a form likewise.
+#: Members of a class of copies that are paired with each other class's in full; rows of a look that meet in one block.
 MOST_COPIES, MOST_VARIANTS = 50, 1000
 
 
@@ -90,27 +92,37 @@ def look_alike_pairs(df: DataFrame, key: str = "document_id", fields: tuple[str,
     """(field_name, key_a, key_b), key_a < key_b, distinct: different keys whose field looks the same but is not equal.
 
     Null fields and keys take no part. Of a group of more than MOST_COPIES keys with equal text the first so many are
-    paired with those of every other stored form, the others with the first of each; of more than MOST_VARIANTS stored
-    forms of one look, those beyond are paired with the first form: linear in the group, and no text loses its link.
+    paired with those of every other stored form, the others with the first of each: no text loses its link. Stored forms
+    of a look are all paired, however many; their pairs are spread over blocks of about MOST_VARIANTS rows.
     look_alike_classes gives all groups whole, whatever their size.
     """
-    rows = _several(_rows(df, key, list(fields)))
+    rows = stage_table(_several(_rows(df, key, list(fields))), "looks")
     # Window limits go below the shuffle, so that no task ranks a whole group of copies.
     in_raw = Window.partitionBy(*_FORM, "raw").orderBy("id")
-    in_form = Window.partitionBy(*_FORM).orderBy("raw")
-    firsts = rows.withColumn("copy", F.row_number().over(in_raw)).where(F.col("copy") <= MOST_COPIES)
-    variants = rows.groupBy(*_FORM, "raw").agg(F.min("id").alias("id")).withColumn("variant", F.row_number().over(in_form)).where(F.col("variant") <= MOST_VARIANTS)
-    few = firsts.join(variants.select(*_FORM, "raw"), [*_FORM, "raw"])
-    within = rows.join(variants.select(*_FORM, "raw"), [*_FORM, "raw"])
+    ranked = rows.withColumn("copy", F.row_number().over(in_raw)).where(F.col("copy") <= MOST_COPIES)
+    few = ranked.select(*_FORM, "raw", "id", (F.col("copy") == 1).alias("first"))
+    rest = rows.join(few.select(*_FORM, "raw", "id"), [*_FORM, "raw", "id"], "left_anti")
+
+    def blocks(of: DataFrame) -> DataFrame:
+        n = of.groupBy(*_FORM).agg(F.ceil(F.count(F.lit(1)) / MOST_VARIANTS).cast("int").alias("blocks"))
+        return broadcast_if_bounded(n.where("blocks > 1"), 64)
 
-    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+    def met(one: DataFrame, two: DataFrame, on: list[str], condition: str) -> DataFrame:
         x, y = one.alias("x"), two.alias("y")
-        found = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in _FORM] + [F.col("x.raw") != F.col("y.raw"), F.col("x.id") != F.col("y.id")])
+        found = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in _FORM + on] + [F.expr(condition)])
         a, b = F.col("x.id"), F.col("y.id")
         return found.select(F.col("x.field_name").alias("field_name"), F.least(a, b).alias(f"{key}_a"), F.greatest(a, b).alias(f"{key}_b"))
 
-    pairs = met(few, few).unionByName(met(within, variants)).unionByName(met(rows, variants.where("variant = 1")))
-    return pairs.distinct()
+    count, own = F.coalesce("blocks", F.lit(1)), F.pmod(F.xxhash64("raw", "id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    # Every pair of blocks meets once: within a block as x.id < y.id, between two as the lower with the higher.
+    placed = few.join(blocks(few), _FORM, "left").select(*_FORM, "raw", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    placed = placed.select(*_FORM, "raw", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    pairs = met(placed, placed, ["low", "high"], "x.raw <> y.raw and x.id <> y.id and (x.own < y.own or (x.own = y.own and x.low = x.high and x.id < y.id))")
+    # Further copies meet the first of every other stored form.
+    many = blocks(rest)
+    copies = rest.join(many, _FORM, "left").select(*_FORM, "raw", "id", own.alias("own"))
+    firsts = few.where("first").join(many, _FORM, "left").select(*_FORM, "raw", "id", F.explode(F.sequence(F.lit(0), count - 1)).alias("own"))
+    return pairs.unionByName(met(copies, firsts, ["own"], "x.raw <> y.raw and x.id <> y.id")).distinct()
 
 
 def look_alike_classes(df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:

@@ -59,3 +59,15 @@ def test_bounds_lose_no_text(spark, monkeypatch):
     got = {tuple(r)[1:] for r in look_alike_pairs(spark.createDataFrame(data, "document_id string, title string, text string")).collect()}
     assert {x for p in got for x in p} == {k for k, *_ in data}
     assert len(got) < 120 * 14
+
+
+def test_every_stored_form_meets_every_other(spark, monkeypatch):
+    """One title in many stored ways, a few keys each, beside a group of copies: all pairs, whatever the blocks."""
+    monkeypatch.setattr(lookalikes, "MOST_VARIANTS", 16)
+    marks = ["\u200b", "\u2060", "\ufeff"]
+    ways = ["".join(marks[n // 3**i % 3] for i in range(5)) for n in range(150)]
+    data = [(f"k{n:03d}", "ab" + ways[n % 150], None) for n in range(320)] + [("k000", "ab", None), ("z", "b", None)]
+    df = spark.createDataFrame(data, "document_id string, title string, text string").repartition(3)
+    got = [tuple(r)[1:] for r in look_alike_pairs(df).collect()]
+    want = {(a, b) for a, x, _ in data for b, y, _ in data if a < b and x != y and "z" not in (a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
