@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +18,13 @@ _C_LATIN = "ABESIÏJKMHOPCTYXËÈaesiïjopcyxëèhdqwyYl"
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΆΈΉΊΌΎΪΫονό"
 _G_LATIN = "ABEZHIKMNOPTYXÁÉHÍÓÝÏŸovó"
 _OTHERS, _O_LATIN = "օɑɡ", "oag"
+# The letters without accents, and of all letters composed from them what the Latin letter makes with the same accents.
+_BARE = {a: b for a, b in zip(_CYRILLIC + _GREEK + _OTHERS, _C_LATIN + _G_LATIN + _O_LATIN) if unicodedata.normalize("NFD", a) == a}
+_COMPOSED = {
+    c: unicodedata.normalize("NFC", d[0].translate(str.maketrans(_BARE)) + d[1:])
+    for c in map(chr, range(sys.maxunicode + 1))
+    if not "\ud800" <= c <= "\udfff" and (d := unicodedata.normalize("NFD", c)) != c and d[0] in _BARE
+}
 # Ligatures and their letters.
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǆ": "dž", "Ǉ": "LJ", "ǉ": "lj", "Ǌ": "NJ", "ǌ": "nj"}
 # Kinds of single blanks; invisible characters as a class of regular expressions.
@@ -44,6 +53,20 @@ def consistent_sql(column: str) -> str:
     return f"nfc_normalize({sql})"
 
 
+def latin_sql(column: str) -> str:
+    """SQL of DuckDB for a string column with look-alike letters as Latin ones, before an accent can join them: accents then
+    meet the Latin letter, whether they stand by themselves or in a composed letter of the other script."""
+    one = {a: b for a, b in (_BARE | _COMPOSED).items() if len(b) == 1}
+    sql = f"translate({column}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    several = {a: b for a, b in _COMPOSED.items() if len(b) > 1}
+    replaced = "bare"
+    for a, letters in several.items():
+        replaced = f"replace({replaced}, {_quoted(a)}, {_quoted(letters)})"
+    # Few texts hold a letter that has no composed Latin one.
+    rare = "[" + "".join(f"\\x{{{ord(a):04X}}}" for a in several) + "]"
+    return f"list_transform([{sql}], lambda bare: CASE WHEN regexp_matches(bare, {_quoted(rare)}) THEN {replaced} ELSE bare END)[1]"
+
+
 def _formed(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
@@ -53,7 +76,7 @@ def _formed(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa
         for a in range(0, batch.num_rows, 2048):
             part = pa.Table.from_batches([batch.slice(a, 2048)])
             con.register("part", part)
-            columns = ", ".join(f'{consistent_sql(_name(n))} AS {_name(n)}' if n in fields else _name(n) for n in names)
+            columns = ", ".join(f'{consistent_sql(latin_sql(_name(n)))} AS {_name(n)}' if n in fields else _name(n) for n in names)
             found = con.execute(f"SELECT {columns} FROM part").to_arrow_table()
             con.unregister("part")
             yield from found.cast(part.schema).combine_chunks().to_batches()

@@ -71,3 +71,15 @@ def test_every_stored_form_meets_every_other(spark, monkeypatch):
     got = [tuple(r)[1:] for r in look_alike_pairs(df).collect()]
     want = {(a, b) for a, x, _ in data for b, y, _ in data if a < b and x != y and "z" not in (a, b)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_accents_meet_the_latin_letter(spark):
+    """Look-alike letters with accents, by themselves or composed, become what the Latin letter becomes with them."""
+    same = [("ӓ", "ä"), ("ӓ", "ä"), ("ӧ", "ö"), ("ӧ", "ö"), ("о​̈", "ö"), ("ӱ", "ÿ"), ("ӱ", "ÿ"), ("Ӓ", "Ä"), ("Ӧ", "Ö"), ("Ӱ", "Ÿ"), ("ὸ", "ò"), ("ὸ", "ò")]
+    same += [("Ὰ", "À"), ("Ὰ", "À"), ("Ὲ", "È"), ("Ὶ", "Ì"), ("Ὸ", "Ò"), ("Ὺ", "Ỳ"), ("Ὴ", "H̀"), ("Ὴ", "H̀"), ("Ή", "H́"), ("Ἀ", "A̓"), ("ӧ̄", "ȫ"), ("օ̈", "ö"), ("ё", "ë")]
+    texts = [f"Zgj {x} dhe {x}" for pair in same for x in pair] + ["Zgj й Й ή"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, title string")
+    got = [r["title"] for r in consistent(df, ["title"]).orderBy("n").collect()]
+    assert got[0:-1:2] == got[1:-1:2] == [f"Zgj {x} dhe {x}" for _, x in same] and got[-1] == texts[-1]
+    pairs = {(r[1], r[2]) for r in look_alike_pairs(df.selectExpr("format_string('%03d', n) document_id", "title", "cast(null as string) text")).collect()}
+    assert {(f"{2 * n:03d}", f"{2 * n + 1:03d}") for n in range(len(same))} <= pairs
