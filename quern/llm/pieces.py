@@ -114,10 +114,10 @@ def _valleys(similarity: np.ndarray) -> np.ndarray:
     return climbs(similarity) + climbs(similarity[::-1])[::-1] - 2 * similarity
 
 
-def _overlap(t: _Text, begin: int, end: int, start: int, stop: int, most: int) -> int:
+def _overlap(t: _Text, begin: int, end: int, start: int, stop: int, most: int, most_tokens: int) -> int:
     """Where a piece that adds text[start:stop] begins, so that it repeats up to ``most`` bytes of the end of the piece
     text[begin:end] before it: at a word, or inside the last one if that alone is too long; start if nothing fits."""
-    most = min(most, room(MOST_TOKENS) - t.size(end, stop))
+    most = min(most, room(most_tokens) - t.size(end, stop))
     if most <= 0:
         return start
     at = int(np.searchsorted(t.bytes, t.bytes[end] - most))
@@ -173,7 +173,7 @@ def pieces(text: str, most_tokens: int = MOST_TOKENS, overlap_tokens: int = OVER
     cuts.append((start, last))
     out = [cuts[0]]
     for before, (a, b) in zip(cuts, cuts[1:]):
-        out.append((_overlap(t, before[0], before[1], a, b, room(overlap_tokens)), b))
+        out.append((_overlap(t, before[0], before[1], a, b, room(overlap_tokens), most_tokens), b))
     return LEVELS[level], out
 
 

@@ -83,3 +83,14 @@ def test_operator(spark):
     assert {(r["document_id"], r["cut_at"]) for r in got} == {("a", "sentence"), (None, "character"), ("d", "word")}
     assert split_oversized(df.limit(0), ["load_no"]).count() == 0
     assert re.sub(r"\s", "", "".join(r["piece"] for r in got if r["load_no"] is None))
+
+
+def test_overlap_keeps_the_given_limit():
+    """Limits below and above the usual one, also over long white space between pieces."""
+    gap = ("fjalë " * 40).strip() + " " * 150
+    for text, most, overlap in ((gap * 30, 100, 20), (("fjalë e gjatë. " * 4000).strip(), 2000, 80)):
+        level, found = pieces(text, most, overlap)
+        assert level and len(found) > 2
+        assert all(tokens(len(text[a:b].encode())) <= most for a, b in found)
+        if most > MOST_TOKENS:
+            assert all(a < end for (_, end), (a, _) in zip(found, found[1:]))
