@@ -24,7 +24,7 @@ def coupled_windows(requests: DataFrame, limit: int, daily_limit: int, window: i
     # goes below the shuffle and no task sees a whole day.
     by_day = Window.partitionBy("__d").orderBy("epoch", "event_id")
     first = ranked.where(F.col("__rn") <= limit).withColumn("__p", F.row_number().over(by_day)).where(F.col("__p") <= daily_limit)
-    last = broadcast_if_bounded(first.groupBy("__d").agg(F.max(F.struct("epoch", "event_id")).alias("__last")), 64)
+    last = broadcast_if_bounded(first.groupBy("__d").agg(F.max(F.struct("epoch", "event_id")).alias("__last")))
     ok = (F.col("__rn") <= limit) & F.coalesce(F.struct("epoch", "event_id") <= F.col("__last"), F.lit(False))
     both = ranked.join(last, "__d", "left").withColumn("__ok", ok)
     before = F.coalesce(F.sum(F.col("__ok").cast("int")).over(by_client.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -188,7 +188,7 @@ def clause_matches(rows: DataFrame, clauses: DataFrame, key: str, fields: list[s
     join; conditions are counted before they are shuffled.
     """
     total = clauses.groupBy("clause_id").agg(F.count(F.lit(1)).alias("n"))
-    wanted = broadcast_if_bounded(clauses.join(total, "clause_id"), 200)
+    wanted = broadcast_if_bounded(clauses.join(total, "clause_id"))
     pairs = rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select(key, "x.*")
     met = pairs.join(wanted, "field").where(
         F.when(F.col("op") == "==", F.col("v") == F.col("value")).when(F.col("op") == ">=", F.col("v") >= F.col("value")).when(F.col("op") == "<", F.col("v") < F.col("value"))

@@ -62,7 +62,7 @@ def validity_intervals(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
     """
     order = generation_order(manifests)
     # The collection of a generation is the one its manifest states.
-    place = broadcast_if_bounded(order.withColumnRenamed("generation_id", "__gen"), 96)
+    place = broadcast_if_bounded(order.withColumnRenamed("generation_id", "__gen"))
     rows = (
         snapshots.select(
             F.col("generation_id").alias("__gen"),
@@ -112,7 +112,7 @@ def snapshot_changes(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
         .select("collection_id", "chunk_key", F.explode("__event").alias("__event"))
         .select("collection_id", "chunk_key", "__event.ord", "__event.change")
     )
-    place = broadcast_if_bounded(generation_order(manifests).drop("last_ord"), 96)
+    place = broadcast_if_bounded(generation_order(manifests).drop("last_ord"))
     return found.join(place, ["collection_id", "ord"]).select(
         "generation_id", unpacked_key(F.col("chunk_key")).alias("chunk_id"), "change"
     )

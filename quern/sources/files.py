@@ -119,7 +119,7 @@ def front_matter(files: DataFrame, key: str = "path", value: str = "value") -> D
         for f in frames:
             yield pd.DataFrame([(k, *split(v)) for k, v in zip(f[key], f[value]) if isinstance(v, str)], columns=[key, "meta", "body"])
 
-    return files.select(key, value).mapInPandas(run, f"{key} string, meta string, body string")
+    return pandas_mapped(files.select(key, value), run, f"{key} string, meta string, body string")
 
 
 def parsed_text(files: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quern.sources.tables import pandas_mapped
+
 #: One token of a source: a comment, a string with its escapes, or any other character.
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<s>(?P<q>['\"`])(?:\\.|(?!(?P=q)).)*(?P=q))|.", re.S)
 _ESCAPES = {"n": "\n", "r": "\n", "t": " "}
@@ -69,7 +71,7 @@ def literal_texts(files: DataFrame, key: str = "path", source: str = "value") ->
             rows = [(k, "\n\n".join(p)) for k, s in zip(f[key], f[source]) if isinstance(s, str) and (p := prose(s))]
             yield pd.DataFrame(rows, columns=[key, "text"])
 
-    return files.select(key, source).mapInPandas(run, f"{key} string, text string")
+    return pandas_mapped(files.select(key, source), run, f"{key} string, text string")
 
 
 def series(files: DataFrame, name: str, strings: list[str], numbers: list[str], key: str = "path", source: str = "value") -> DataFrame:
@@ -82,4 +84,4 @@ def series(files: DataFrame, name: str, strings: list[str], numbers: list[str],
             yield out.astype({c: "float64" for c in numbers})
 
     kinds = ", ".join([f"{key} string, pos int", *(f"`{c}` string" for c in strings), *(f"`{c}` double" for c in numbers)])
-    return files.select(key, source).mapInPandas(run, kinds)
+    return pandas_mapped(files.select(key, source), run, kinds)

@@ -9,7 +9,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -63,18 +65,58 @@ def ship_package(spark: SparkSession) -> None:
     sc._quern_shipped = True
 
 
+def arrow_mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package on every worker, wherever ``df`` came from."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def pandas_mapped(df: DataFrame, run, schema) -> DataFrame:
+    """The same for a function of pandas frames."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
+#: Folders that stage_table wrote in this process.
+_STAGED: list[str] = []
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later stages neither recompute it nor
-    depend on the executors that made it."""
+    depend on the executors that made it. clear_staged removes what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows times ``row_bytes`` stay within ``limit_bytes``; else as
-    it is, so that the join shuffles. The count is one pass over a pruned scan."""
-    from pyspark.sql import functions as F
+def clear_staged(spark: SparkSession) -> int:
+    """Remove the folders this process staged, once nothing reads them any more; how many there were."""
+    jvm, removed = spark.sparkContext._jvm, 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
+def _bytes_of(field: StructField) -> Column:
+    """About how many bytes a row's value of a column takes, lengths of strings and binary values as they are."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) * 2
+    return F.lit(16)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory: one pass that adds up the lengths of its values."""
+    row = sum((_bytes_of(f) for f in df.schema.fields), F.lit(32))
+    return df.agg(F.sum(row.cast("long")).alias("n")).first()["n"] or 0
+
 
-    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+def broadcast_if_bounded(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its measured bytes stay within ``limit_bytes``; else as it is, so that the join
+    shuffles. Measuring is a job of its own: ``df`` should be small to compute or staged."""
+    return F.broadcast(df) if measured_bytes(df) <= limit_bytes else df
