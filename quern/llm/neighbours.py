@@ -1,17 +1,17 @@
 """Most similar vectors for every vector, by a permutation index.
 
 A vector is represented by the order of its nearest pivots, which are a bounded sample of the vectors themselves, so dense
-regions get more of them. Each vector is posted in the inverted files of the pairs among its first ``POSTED`` pivots;
-vectors that meet in a file are ranked by the footrule distance of their first ``PREFIX`` pivots, those within its reach
-are compared by a rounded cosine that travels with the posting, and what is left by the exact one. A vector that meets more
-than ``SHORTLIST`` such partners lies in a crowd, where the order of pivots tells too little: crowds are covered by leaders,
-and every vector near a leader is compared with all that can be similar to it. Equal directions are one class from the
-start; a class takes part once and its members share what it finds.
+regions get more of them. Each vector is posted in the inverted files of its first ``POSTED`` pivots, and two vectors meet
+if they share two of those: in the file of the lesser one, where they are ranked by the footrule distance of their first
+``PREFIX`` pivots. Those within its reach are compared by a rounded cosine that travels with the posting, with a proven
+bound on its error, and what is left by the exact one. A vector that meets more than ``SHORTLIST`` such partners lies in a
+crowd, where the order of pivots tells too little: crowds are covered by leaders, and every vector near a leader is
+compared with all that can be similar to it. Equal directions are one class from the start; a class takes part once and
+its members share what it finds.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -21,22 +21,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.codepoints import mixed
-from quern.sources.tables import broadcast_if_bounded, stage_table
+from quern.sources.tables import arrow_mapped, broadcast_if_bounded, stage_table
 
-#: Of how many pivots the pairs are posted, and how many count for the footrule distance.
+#: In the files of how many pivots a vector is posted, and how many count for the footrule distance.
 POSTED, PREFIX = 7, 12
 #: Partners up to which a vector's candidates are those it meets; with more of them it is compared exactly, see _crowded_pairs.
 SHORTLIST = 24
 #: Pivots: four times the root of the number of vectors, so that files stay as long whatever that is; within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
+LEAST_PIVOTS, MOST_PIVOTS = 64, 65_535
 #: Vectors with which the reach of the footrule distance is fitted, and the share of true pairs it must keep.
 _FITTED, _KEPT = 512, 0.998
 #: Files with more postings are split into blocks of so many, and the pairs of blocks are spread over tasks.
 FILE_ROWS = 4096
 _PAIRS = 1 << 21  # footrule distances at once
 _DOTS = 1 << 17  # rounded cosines at once
-#: A rounded cosine (a byte a coordinate, scaled by the largest) is off by less than this.
-_ROUNDING = 0.01
 #: Every crowded vector has a leader with at least this cosine; leaders are chosen from so many crowded vectors at a time.
 _COVER, _DRAWN = 0.85, 4096
 #: Vectors of a leader that one task compares at once, with how many others at once, and pairs kept of each beyond k: float32
@@ -80,12 +78,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def prefixes(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The numbers of each vector's nearest pivots, nearest first; equally near ones by number."""
     n = min(PREFIX, len(pivots))
-    out = np.empty((len(vectors), n), np.int16)
-    for a in range(0, len(vectors), 1024):
-        near = -(vectors[a : a + 1024] @ pivots.T)
+    out = np.empty((len(vectors), n), np.uint16)
+    step = max(16, (1 << 22) // len(pivots))
+    for a in range(0, len(vectors), step):
+        near = -(vectors[a : a + step] @ pivots.T)
         some = np.argpartition(near, n - 1, axis=1)[:, :n] if n < len(pivots) else np.broadcast_to(np.arange(n), (len(near), n))
         some = np.sort(some, axis=1)
-        out[a : a + 1024] = np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+        out[a : a + step] = np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
     return out
 
 
@@ -114,75 +113,138 @@ def fitted_reach(sample: np.ndarray, pivots: np.ndarray, similarity: float) -> i
     return int(np.quantile(found, _KEPT)) if len(found) else PREFIX * (PREFIX + 1)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
-    pairs = list(itertools.combinations(range(min(POSTED, len(pivots))), 2)) or [(0, 0)]
+#: A posting: the order of its pivots, the vector in half precision, and by how much that is off (see _error_bound).
+def _layout(width: int, prefix: int) -> np.dtype:
+    return np.dtype([("order", np.uint16, prefix), ("half", np.float16, width), ("error", np.float32)])
+
+
+def _error_bound(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How far the product of two rounded unit vectors can be from that of the vectors, by the lengths of what rounding took
+    from each: |<u,v> - <u',v'>| = |<u-u',v'> + <u',v-v'> + <u-u',v-v'>|, where u' is at most 1 + |u-u'| long. The last term
+    is for the float32 sum."""
+    return one * (1 + two) + two * (1 + one) + one * two + np.float32(1e-5)
+
+
+def _permutations(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(class, posting) of (class, vec)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        vectors = _matrix(batch.column(1))
-        order = prefixes(vectors, pivots)
-        scale = np.abs(vectors).max(1, keepdims=True) / 127
-        rounded = np.round(vectors / scale).astype(np.int8)
-        sides = np.array(pairs)
-        one, two = order[:, sides[:, 0]].astype(np.int64), order[:, sides[:, 1]].astype(np.int64)
-        file = np.minimum(one, two) * (1 << 16) + np.maximum(one, two)
-        packed = [o.tobytes() + c.tobytes() + r.tobytes() for o, c, r in zip(order, scale.astype(np.float32), rounded)]
-        k = len(pairs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(file.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(packed)), k)))], ["file", "class", "order"]
-        )
+        if batch.num_rows:
+            vectors = _matrix(batch.column(1))
+            made = np.zeros(len(vectors), _layout(vectors.shape[1], min(PREFIX, len(pivots))))
+            made["order"], made["half"] = prefixes(vectors, pivots), vectors
+            made["error"] = np.linalg.norm(vectors.astype(np.float64) - made["half"].astype(np.float64), axis=1) * 1.000001 + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in made], pa.binary())], ["class", "posting"])
+
+
+def _orders(column: pa.Array, prefix: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(packed[:, : 2 * prefix]).view(np.uint16)
+
+
+def _files(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, files): every vector in the files of its first pivots, but for the greatest of them, which nothing follows."""
+    posted = np.sort(order[:, :POSTED], axis=1)
+    posted = posted[:, :-1] if posted.shape[1] > 1 else posted
+    return np.repeat(np.arange(len(order)), posted.shape[1]), posted.ravel().astype(np.int64)
+
+
+def _file_sizes(batches: Iterator[pa.RecordBatch], prefix: int, pivots: int) -> Iterator[pa.RecordBatch]:
+    sizes = np.zeros(pivots, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            sizes += np.bincount(_files(_orders(batch.column(0), prefix))[1], minlength=pivots)
+    file = np.flatnonzero(sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(sizes[file])], ["file", "n"])
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, d): of postings sorted by file, each vector's partners in the file, within reach: all of them, or one more than SHORTLIST."""
+def _postings(batches: Iterator[pa.RecordBatch], prefix: int, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(cell, file, side, class, posting): a row for each file of a vector. A long file is cut into blocks by class, each
+    pair of which is a cell of its own with sides 0 and 1, or 2 within a block, so that no pair of vectors is lost and no
+    cell has more than two blocks."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            row, file = _files(_orders(part.column(1), prefix))
+            many = blocks[file]
+            own = (mixed(part.column(0).to_numpy().view(np.uint64)[row] ^ file.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+            other = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row, file, own = (np.repeat(x, many) for x in (row, file, own))
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            cell = mixed(mixed(file.astype(np.uint64)) ^ (low << 32 | high).astype(np.uint64)).view(np.int64)
+            side = np.where(own == other, 2, np.where(own < other, 0, 1)).astype(np.int8)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell), pa.array(file.astype(np.int32)), pa.array(side), part.column(0).take(rows), part.column(1).take(rows)], ["cell", "file", "side", "class", "posting"]
+            )
+
+
+def _first_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The two least pivots that stand in both rows of posted pivots, row by row."""
+    both = (one[:, :, None] == two[:, None, :]).any(2)
+    return np.sort(np.where(both, one, np.iinfo(np.int64).max), axis=1)[:, :2]
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], reach: int, prefix: int, width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, d, low, high): of postings sorted by cell, each vector's partners within reach with the bounds of their cosine;
+    all of them, or one more than SHORTLIST. A pair comes from the one file and second pivot that are the least it shares."""
+    layout = _layout(width, prefix)
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        file, side = table["file"].to_numpy(), table["side"].to_numpy()
-        cls = table["class"].to_numpy()
-        packed = np.frombuffer(b"".join(table["order"].to_pylist()), np.uint8).reshape(len(file), -1)
-        order = np.ascontiguousarray(packed[:, : 2 * width]).view(np.int16)
-        scale = np.ascontiguousarray(packed[:, 2 * width : 2 * width + 4]).view(np.float32)[:, 0]
-        rounded = np.ascontiguousarray(packed[:, 2 * width + 4 :]).view(np.int8).astype(np.float32) * scale[:, None]
-        first = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
-        end = np.repeat(np.append(first[1:], len(file)), np.diff(np.append(first, len(file))))
-        partners = end - np.arange(len(file)) - 1
+        cell, file, side, cls = (table[c].to_numpy() for c in ("cell", "file", "side", "class"))
+        posting = np.frombuffer(b"".join(table["posting"].to_pylist()), layout)
+        order, half, error = posting["order"], posting["half"].astype(np.float32), posting["error"]
+        posted = order[:, :POSTED].astype(np.int64)
+        # Every row under each second pivot that is greater than the file's.
+        row, place = np.nonzero(posted > file[:, None]) if posted.shape[1] > 1 else (np.arange(len(file)), np.zeros(len(file), np.int64))
+        second = posted[row, place]
+        by = np.lexsort((second, cell[row]))
+        row, second = row[by], second[by]
+        if not len(row):
+            return
+        new = np.append(True, (cell[row][1:] != cell[row][:-1]) | (second[1:] != second[:-1]))
+        first = np.flatnonzero(new)
+        end = np.repeat(np.append(first[1:], len(row)), np.diff(np.append(first, len(row))))
+        partners = end - np.arange(len(row)) - 1
         before = np.concatenate([[0], np.cumsum(partners)])
-        row = 0
-        while row < len(file):
-            stop = max(row + 1, int(np.searchsorted(before, before[row] + _PAIRS, side="right")) - 1)
-            n = partners[row:stop]
-            a = np.repeat(np.arange(row, stop), n)
-            b = a + 1 + np.arange(len(a)) - np.repeat(before[row:stop] - before[row], n)
-            row = stop
+        at = 0
+        while at < len(row):
+            stop = max(at + 1, int(np.searchsorted(before, before[at] + _PAIRS, side="right")) - 1)
+            n = partners[at:stop]
+            i = np.repeat(np.arange(at, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(before[at:stop] - before[at], n)
+            at, pivot = stop, second[i]
+            a, b = row[i], row[j]
             meet = ((side[a] == 2) | (side[a] != side[b])) & (cls[a] != cls[b])
-            a, b = a[meet], b[meet]
+            a, b, pivot = a[meet], b[meet], pivot[meet]
             d = footrule(order[a], order[b])
             near = d <= reach
-            a, b, d = a[near], b[near], d[near]
-            dots = [np.einsum("ij,ij->i", rounded[a[i : i + _DOTS]], rounded[b[i : i + _DOTS]]) for i in range(0, len(a), _DOTS)]
-            like = np.concatenate(dots) >= similarity - _ROUNDING if dots else np.zeros(0, bool)
-            a, b, d = a[like], b[like], d[like]
+            a, b, d, pivot = a[near], b[near], d[near], pivot[near]
+            dots = [np.einsum("ij,ij->i", half[a[i : i + _DOTS]], half[b[i : i + _DOTS]]) for i in range(0, len(a), _DOTS)]
+            dot, bound = np.concatenate(dots) if dots else np.zeros(0, np.float32), _error_bound(error[a], error[b])
+            like = dot + bound >= similarity
+            a, b, d, pivot, dot, bound = (x[like] for x in (a, b, d, pivot, dot, bound))
+            if posted.shape[1] > 1:
+                shared = _first_shared(posted[a], posted[b])
+                once = (shared[:, 0] == file[a]) & (shared[:, 1] == pivot)
+                a, b, d, dot, bound = (x[once] for x in (a, b, d, dot, bound))
             if not len(a):
                 continue
-            one, two, dist = np.concatenate([cls[a], cls[b]]), np.concatenate([cls[b], cls[a]]), np.concatenate([d, d])
-            # A pair that meets in several of these files counts once.
-            o = np.lexsort((two, one))
-            o = o[np.append(True, (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1]))]
-            one, two, dist = one[o], two[o], dist[o]
-            o = np.lexsort((two, dist, one))
-            one, two, dist = one[o], two[o], dist[o]
+            one, two = np.concatenate([cls[a], cls[b]]), np.concatenate([cls[b], cls[a]])
+            d, low, high = np.concatenate([d, d]), np.concatenate([dot - bound] * 2), np.concatenate([dot + bound] * 2)
+            o = np.lexsort((two, d, one))
+            one = one[o]
             starts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
-            rank = np.arange(len(one)) - np.repeat(starts, np.diff(np.append(starts, len(one))))
-            top = rank <= SHORTLIST
-            yield pa.RecordBatch.from_arrays([pa.array(one[top]), pa.array(two[top]), pa.array(dist[top].astype(np.int32))], ["a", "b", "d"])
+            top = np.arange(len(one)) - np.repeat(starts, np.diff(np.append(starts, len(one)))) <= SHORTLIST
+            o = o[top]
+            yield pa.RecordBatch.from_arrays([pa.array(one[top]), pa.array(two[o]), pa.array(d[o].astype(np.int32)), pa.array(low[o]), pa.array(high[o])], ["a", "b", "d", "low", "high"])
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
         kept.append(batch)
         table = pa.Table.from_batches(kept)
-        file = table["file"].to_numpy()
-        # The last file may go on in the next batch.
-        last = int(np.searchsorted(file, file[-1])) if len(file) else 0
+        cell = table["cell"].to_numpy()
+        # The last cell may go on in the next batch.
+        last = int(np.argmax(cell == cell[-1])) if len(cell) else 0
         if last:
             yield from pairs(table.slice(0, last))
             kept = table.slice(last).combine_chunks().to_batches()
@@ -190,23 +252,6 @@ def _ranked(batches: Iterator[pa.RecordBatch], reach: int, width: int, similarit
         yield from pairs(pa.Table.from_batches(kept))
 
 
-def _split(postings: DataFrame) -> DataFrame:
-    """Postings with a side: 2 where the whole file is one task's; long files in blocks, each pair of blocks a file of its
-    own with sides 0 and 1, so that no pair is lost and no task has more than two blocks."""
-    long = postings.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FILE_ROWS)
-    long = broadcast_if_bounded(long.select("file", F.ceil(F.col("n") / FILE_ROWS).cast("int").alias("__blocks")), 32)
-    blocks, own = F.col("__blocks"), F.pmod(F.xxhash64("class"), F.col("__blocks")).cast("int")
-    other = F.explode(F.when(blocks.isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))).alias("__other")
-    rows = postings.join(long, "file", "left").select("*", F.coalesce(own, F.lit(-1)).alias("__own"), other)
-    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return rows.select(
-        F.when(F.col("__own") < 0, F.col("file")).otherwise(F.xxhash64("file", low, high)).alias("file"),
-        "class",
-        "order",
-        F.when(F.col("__own") == F.col("__other"), 2).otherwise(F.when(F.col("__own") < F.col("__other"), 0).otherwise(1)).cast("int").alias("side"),
-    )
-
-
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -224,22 +269,31 @@ def _uncovered(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterat
             yield batch.filter(pa.array(np.concatenate(best) < _COVER))
 
 
+def _drawn(df: DataFrame, n: int, wanted: int) -> list[bytes]:
+    """The vectors of about ``wanted`` of the ``n`` rows of (class, vec), or somewhat more, the same whatever the partitions
+    are: those whose hash lies under a threshold, in its order. No partition sends others."""
+    share = min(1.0, (wanted * 1.1 + 8 * math.sqrt(wanted) + 16) / max(1, n))
+    mark = F.xxhash64(F.lit(0), "class")
+    some = df.where(mark < int((share * 2 - 1) * 2**63)) if share < 1 else df
+    return [bytes(r["vec"]) for r in sorted(some.select(mark.alias("mark"), "class", "vec").collect(), key=lambda r: (r["mark"], r["class"]))]
+
+
 def _leaders(crowded: DataFrame) -> np.ndarray:
     """Some of (class, vec), so that each has one with a cosine of at least _COVER; an empty array of none. Their number is
     that of the crowds, not of their members."""
     sc = crowded.sparkSession.sparkContext
     chosen: list[np.ndarray] = []
-    rest = crowded
-
-    def left(leaders) -> DataFrame:
-        return crowded.mapInArrow(lambda b: _uncovered(b, leaders.value), "class long, vec binary")
-
-    while drawn := rest.orderBy(F.xxhash64("class"), "class").limit(_DRAWN).select("vec").collect():
-        sample = np.frombuffer(b"".join(bytes(r["vec"]) for r in drawn), np.float32).reshape(len(drawn), -1)
+    rest, n = crowded, crowded.count()
+    while n:
+        drawn = _drawn(rest, n, _DRAWN)
+        sample = np.frombuffer(b"".join(drawn), np.float32).reshape(len(drawn), -1)
         while len(sample):
             chosen.append(sample[0])
             sample = sample[1:][sample[1:] @ sample[0] < _COVER]
-        rest = left(sc.broadcast(np.array(chosen)))
+        if drawn:
+            sent = sc.broadcast(np.array(chosen))
+            rest = arrow_mapped(crowded, lambda b, sent=sent: _uncovered(b, sent.value), "class long, vec binary")
+        n = rest.count()
     return np.array(chosen)
 
 
@@ -315,53 +369,64 @@ def _crowded_pairs(vectors: DataFrame, crowded: DataFrame, k: int, similarity: f
         return None
     ring = math.cos(min(math.pi, math.acos(_COVER) + math.acos(similarity) + 1e-3))
     sent = vectors.sparkSession.sparkContext.broadcast(leaders)
-    cells = stage_table(vectors.select("class", "vec").mapInArrow(lambda b: _cells(b, sent.value, ring), "leader int, class long, vec binary, asks boolean"), "cells")
+    cells = stage_table(arrow_mapped(vectors.select("class", "vec"), lambda b: _cells(b, sent.value, ring), "leader int, class long, vec binary, asks boolean"), "cells")
     blocks = cells.where("asks").groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks"))
     block = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = cells.join(broadcast_if_bounded(blocks, 32), "leader").select("leader", F.explode(block).alias("block"), "class", "vec", "asks")
+    spread = cells.join(broadcast_if_bounded(blocks), "leader").select("leader", F.explode(block).alias("block"), "class", "vec", "asks")
     keyed = spread.select((F.col("leader").cast("long") * (1 << 31) + F.col("block")).alias("cell"), "class", "vec", "asks")
     sorted_cells = keyed.repartition("cell").sortWithinPartitions("cell", F.desc("asks"))
-    return sorted_cells.mapInArrow(lambda b: _answered(b, k + _SPARE, similarity), "a long, b long")
+    return arrow_mapped(sorted_cells, lambda b: _answered(b, k + _SPARE, similarity), "a long, b long")
 
 
 def direction_classes(df: DataFrame, key: str, embedding: str, width: int) -> DataFrame:
     """(id, class, vec): the rows that have a direction. Rows with a null id or an embedding that is null, all zero, not
     ``width`` wide or holds a null, NaN or infinity take no part."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("id"), F.col(embedding).alias("e")).mapInArrow(lambda b: _unit_vectors(b, width), f"id {kind}, class long, vec binary")
+    return arrow_mapped(df.select(F.col(key).alias("id"), F.col(embedding).alias("e")), lambda b: _unit_vectors(b, width), f"id {kind}, class long, vec binary")
 
 
 def class_neighbours(vectors: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(a, b, similarity): for each class of (class, vec) up to k others with at least this cosine, best first found."""
+    """(a, b, similarity): for each class of (class, vec) up to k others with at least this cosine, best first found.
+
+    ``vectors`` is read several times: it should be staged."""
     spark = vectors.sparkSession
     n = vectors.count()
-    pivots_wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * math.isqrt(n)))
-    # A bounded sample, the same whatever the partitions: the least by a hash.
-    sample = vectors.orderBy(F.xxhash64("class"), "class").limit(pivots_wanted + _FITTED).select("vec").collect()
-    if not sample:
+    if not n:
         return vectors.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(0.0).alias("similarity"))
-    drawn = np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float32).reshape(len(sample), -1)
+    pivots_wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, 4 * math.isqrt(n)))
+    sample = _drawn(vectors, n, pivots_wanted + _FITTED)[: pivots_wanted + _FITTED]
+    drawn = np.frombuffer(b"".join(sample), np.float32).reshape(len(sample), -1)
     held = min(_FITTED, len(drawn) // 4)
     pivots, fitted = drawn[: len(drawn) - held], drawn[len(drawn) - held :]
     reach = fitted_reach(fitted, pivots, similarity)
-    sent, width = spark.sparkContext.broadcast(pivots), min(PREFIX, len(pivots))
-
-    postings = vectors.select("class", "vec").mapInArrow(lambda b: _postings(b, sent.value), "file long, class long, order binary")
-    met = _split(postings).repartition("file").sortWithinPartitions("file").mapInArrow(lambda b: _ranked(b, reach, width, similarity), "a long, b long, d int")
-    best = Window.partitionBy("a").orderBy("d", "b")
-    listed = met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHORTLIST + 1)
-    listed = stage_table(listed.select("a", "b", "rank"), "listed")
+    sent, prefix, width = spark.sparkContext.broadcast(pivots), min(PREFIX, len(pivots)), drawn.shape[1]
+
+    permuted = stage_table(arrow_mapped(vectors.select("class", "vec"), lambda b: _permutations(b, sent.value), "class long, posting binary"), "permutations")
+    # A row for each pivot at most.
+    sizes = arrow_mapped(permuted.select("posting"), lambda b: _file_sizes(b, prefix, len(pivots)), "file long, n long").groupBy("file").agg(F.sum("n").alias("n")).collect()
+    blocks = np.ones(len(pivots), np.int64)
+    for r in sizes:
+        blocks[r["file"]] = -(-r["n"] // FILE_ROWS)
+    cut = spark.sparkContext.broadcast(blocks)
+    postings = arrow_mapped(permuted, lambda b: _postings(b, prefix, cut.value), "cell long, file int, side byte, class long, posting binary")
+    # The number of partitions follows the postings, so that they stay of one size; AQE joins small ones.
+    met = arrow_mapped(postings.repartition("cell").sortWithinPartitions("cell"), lambda b: _ranked(b, reach, prefix, width, similarity), "a long, b long, d int, low float, high float")
+    best, surest = Window.partitionBy("a").orderBy("d", "b"), Window.partitionBy("a").orderBy(F.desc("low"), "b")
+    listed = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SHORTLIST + 1)
+    # Of a list, those count whose cosine can be among the k best; the mark is on the row that has the k-th surest.
+    listed = listed.withColumn("crowded", F.max("rank").over(Window.partitionBy("a")) > SHORTLIST)
+    listed = listed.withColumn("sure", F.nth_value("low", k).over(surest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    listed = stage_table(listed.where(F.when(F.col("crowded"), F.col("rank") == 1).otherwise(F.coalesce(F.col("high") >= F.col("sure"), F.lit(True)))).select("a", "b", "crowded"), "listed")
     # The list of a crowded vector is not whole: all of its similar ones are looked for.
-    over = listed.where(F.col("rank") > SHORTLIST).select("a")
-    crowded = stage_table(vectors.join(over, F.col("class") == F.col("a"), "left_semi").select("class", "vec"), "crowded")
-    candidates = listed.join(over, "a", "left_anti").select("a", "b")
+    crowded = stage_table(vectors.join(listed.where("crowded").select(F.col("a").alias("class")), "class", "left_semi").select("class", "vec"), "crowded")
+    candidates = listed.where("not crowded").select("a", "b")
     exact = _crowded_pairs(vectors, crowded, k, similarity)
     if exact is not None:
         candidates = candidates.unionByName(exact)
     # A pair counts for both of its ends, whichever had it in its list.
     once = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = vectors.select(F.col("class").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("class").alias("b"), F.col("vec").alias("vb"))
-    scored = once.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    scored = arrow_mapped(once.join(one, "a").join(two, "b").select("a", "b", "va", "vb"), _cosines, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
     both = scored.select(F.explode(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))).alias("p")).select("p.*")
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return both.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
@@ -376,8 +441,8 @@ def similar_pairs(df: DataFrame, key: str = "chunk_id", embedding: str = "embedd
     several directions, each counts. Rows without a direction take no part, see direction_classes. No step holds more of
     a class than its first k + 1 members.
     """
-    rows = stage_table(direction_classes(df, key, embedding, width), "directions")
-    vectors = rows.groupBy("class").agg(F.min("vec").alias("vec"))
+    every = direction_classes(df, key, embedding, width)
+    rows, vectors = stage_table(every.select("id", "class"), "directions"), stage_table(every.groupBy("class").agg(F.min("vec").alias("vec")), "vectors")
     by_id = Window.partitionBy("class").orderBy("id")
     # First k + 1 members; the limit goes below the shuffle.
     first = rows.select("class", "id").withColumn("__r", F.dense_rank().over(by_id)).where(F.col("__r") <= k + 1)

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.codepoints import LETTER, NUMBER, OTHER, SPACE, Texts, classes, hashes, texts_of
 from quern.llm.lexicon import compiled, opened
-from quern.sources.tables import shared_file
+from quern.sources.tables import arrow_mapped, shared_file, stage_table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How many of the most frequent words the lexicon holds: a bound on its memory that no result depends on.
 LEXICON_WORDS = 60_000
+#: Words rarer than one in so many are left to the exact merges.
+RAREST = 300_000
+_STEPS = 8  # of the histogram of counts, a doubling
 _LONGEST = 64  # bytes of a word that may enter the lexicon
 _FLUSH = 300_000  # distinct words a task holds before it passes its counts on
 #: What follows an apostrophe in a word of its own (fixed values of the vocabulary's pattern).
@@ -139,10 +142,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def frequent_words(df: DataFrame, text: str, limit: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n) of the most frequent words over all rows. Words are counted in each task before they are shuffled."""
-    counted = df.select(F.col(text)).mapInArrow(_count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+def frequent_words(df: DataFrame, text: str, limit: int = LEXICON_WORDS, rarest: int = RAREST) -> DataFrame:
+    """(word, n) of the most frequent words over all rows: at most ``limit``, none rarer than one in ``rarest``.
+
+    Words are counted in each task before they are shuffled. Where to stop is read off a histogram of the counts, which
+    has a few hundred rows whatever the corpus is, so no partition sends more words than it has among those chosen."""
+    counted = arrow_mapped(df.select(F.col(text)), _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    size = F.floor(F.log2("n") * _STEPS).cast("int")
+    repeated = stage_table(counted.where("n > 1").withColumn("size", size), "words")
+    sizes = sorted(repeated.groupBy("size").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
+    all_words, taken, least = sum(r["n"] for r in sizes), 0, None
+    for r in sizes:
+        taken += r["words"]
+        if taken > limit or 2 ** ((r["size"] + 1) / _STEPS) * rarest < all_words:
+            break
+        least = r["size"]
+    return repeated.where(F.col("size") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
 def publish_file(spark: SparkSession, content: bytes, label: str) -> str:
@@ -152,15 +167,24 @@ def publish_file(spark: SparkSession, content: bytes, label: str) -> str:
     return name
 
 
-def compile_lexicon(df: DataFrame, text: str, ranks_path: str = RANKS, limit: int = LEXICON_WORDS) -> bytes:
-    """The lexicon of the corpus's most frequent words: at most ``limit`` words come to the driver."""
-    ranks = read_ranks(ranks_path)
-    return compiled({(w := bytes(r["word"])): merged(w, ranks) for r in frequent_words(df, text, limit).collect()})
+def _with_ids(ranks_file: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(SparkFiles.get(ranks_file))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([merged(w, ranks) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+
+    return run
+
+
+def compile_lexicon(df: DataFrame, text: str, ranks_file: str, limit: int = LEXICON_WORDS) -> bytes:
+    """The lexicon of the corpus's most frequent words: at most ``limit`` words and their ids come to the driver."""
+    words = arrow_mapped(frequent_words(df, text, limit).select("word"), _with_ids(ranks_file), "word binary, ids array<int>")
+    return compiled({bytes(r["word"]): r["ids"] for r in words.collect()})
 
 
-def _encoder(name: str, ranks_path: str):
+def _encoder(name: str, ranks_file: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, ranks = opened(SparkFiles.get(name)), read_ranks(ranks_path)
+        lexicon, ranks = opened(SparkFiles.get(name)), read_ranks(SparkFiles.get(ranks_file))
         known = len(lexicon.ids)
         memo: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -201,8 +225,12 @@ def encode_ids(df: DataFrame, key: str, text: str, ranks_path: str = RANKS, lexi
     Empty and null texts give the empty list. Rows that repeat and null keys stay. Two passes over the texts: one counts
     the words of all rows, for the lexicon of the ``lexicon_words`` most frequent; the other encodes, without a shuffle.
     A word that the lexicon doesn't know is merged exactly, so its size changes the speed only. Very long texts are
-    worked on in pieces cut where no word can go across. The path must be readable on every executor.
+    worked on in pieces cut where no word can go across. The driver reads the vocabulary at ``ranks_path`` and hands it to
+    the executors.
     """
     kind = df.schema[key].dataType.simpleString()
-    name = publish_file(df.sparkSession, compile_lexicon(df, text, ranks_path, lexicon_words), "lexicon")
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_encoder(name, ranks_path), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    with open(ranks_path, "rb") as f:
+        ranks = publish_file(df.sparkSession, f.read(), "ranks")
+    lexicon = publish_file(df.sparkSession, compile_lexicon(df, text, ranks, lexicon_words), "lexicon")
+    encoded = arrow_mapped(df.select(F.col(key).alias("key"), F.col(text).alias("text")), _encoder(lexicon, ranks), f"key {kind}, ids array<int>")
+    return encoded.withColumnRenamed("key", key)

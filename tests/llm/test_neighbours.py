@@ -1,6 +1,7 @@
 """The permutation index against brute force, with copies, hot files and rows without a direction."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import neighbours
@@ -34,7 +35,7 @@ def test_footrule():
     pivots = np.eye(20, dtype=np.float32)
     order = prefixes(np.arange(40, dtype=np.float32).reshape(2, 20)[::-1].copy(), pivots)
     assert order.shape == (2, PREFIX) and order[0].tolist() == list(range(19, 19 - PREFIX, -1))
-    a, b = np.arange(PREFIX, dtype=np.int16)[None], np.arange(100, 100 + PREFIX, dtype=np.int16)[None]
+    a, b = np.arange(PREFIX, dtype=np.uint16)[None], np.arange(100, 100 + PREFIX, dtype=np.uint16)[None]
     assert footrule(a, a)[0] == 0 and footrule(a, b)[0] == PREFIX * (PREFIX + 1)
     assert footrule(a, a[:, [1, 0, *range(2, PREFIX)]])[0] == 2
 
@@ -86,3 +87,32 @@ def test_copies_and_odd_rows(spark):
     assert found == want
     assert similar_pairs(df.limit(0)).count() == 0 and similar_pairs(df.where("chunk_id like 'n%'")).count() == 0
     assert set(map(tuple, similar_pairs(df.where("chunk_id like 'q%'")).collect())) == {("q1", "q2")}
+
+
+def test_rounding_loses_no_pair():
+    """The bound holds for spiky vectors, whose small coordinates are rounded most, and is small."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((4000, 64)) * rng.choice([1, 1e-3, 60], (4000, 64), p=[0.6, 0.37, 0.03])
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    pivots = v[:64]
+    packed = next(neighbours._permutations(iter([pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([x.tobytes() for x in v])], ["class", "vec"])]), pivots))
+    p = np.frombuffer(b"".join(packed.column(1).to_pylist()), neighbours._layout(64, PREFIX))
+    i, j = rng.integers(0, 4000, (2, 200_000))
+    exact, rounded = (v[i].astype(np.float64) * v[j]).sum(1), np.einsum("ij,ij->i", p["half"][i].astype(np.float32), p["half"][j].astype(np.float32))
+    bound = neighbours._error_bound(p["error"][i], p["error"][j])
+    assert (np.abs(exact - rounded) <= bound).all() and bound.max() < 0.002
+
+
+def test_every_pair_of_two_shared_pivots_comes_once(spark, monkeypatch):
+    """With the whole reach, a pair comes from exactly one file, whether files are cut into blocks or not."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((300, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    pivots, batch = v[:20], pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([x.tobytes() for x in v])], ["class", "vec"])
+    order = prefixes(v, pivots)[:, : neighbours.POSTED]
+    want = {(a, b) for a in range(300) for b in range(300) if a != b and len(set(order[a]) & set(order[b])) >= 2}
+    monkeypatch.setattr(neighbours, "SHORTLIST", 10**6)
+    for many in (1, 5):
+        postings = pa.Table.from_batches(neighbours._postings(neighbours._permutations(iter([batch]), pivots), PREFIX, np.full(20, many))).sort_by("cell")
+        got = [p for b in neighbours._ranked(iter(postings.to_batches(100)), 1000, PREFIX, 8, -2.0) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
