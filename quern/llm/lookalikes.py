@@ -2,82 +2,124 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.sources.tables import broadcast_if_bounded, stage_table
-
-# Letters of other scripts that look like the Latin ones under them, also with their own accents.
-_CYRILLIC = "АВЕЅІЇЈКМНОРСТУХЁЀаеѕіїјорсухёѐһԁԛԝүҮӏ"
-_C_LATIN = "ABESIÏJKMHOPCTYXËÈaesiïjopcyxëèhdqwyYl"
-_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΆΈΉΊΌΎΪΫονό"
-_G_LATIN = "ABEZHIKMNOPTYXÁÉHÍÓÝÏŸovó"
-_OTHERS, _O_LATIN = "օɑɡ", "oag"
-# The letters without accents, and of all letters composed from them what the Latin letter makes with the same accents.
-_BARE = {a: b for a, b in zip(_CYRILLIC + _GREEK + _OTHERS, _C_LATIN + _G_LATIN + _O_LATIN) if unicodedata.normalize("NFD", a) == a}
-_COMPOSED = {
-    c: unicodedata.normalize("NFC", d[0].translate(str.maketrans(_BARE)) + d[1:])
-    for c in map(chr, range(sys.maxunicode + 1))
-    if not "\ud800" <= c <= "\udfff" and (d := unicodedata.normalize("NFD", c)) != c and d[0] in _BARE
-}
-# Ligatures and their letters.
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǆ": "dž", "Ǉ": "LJ", "ǉ": "lj", "Ǌ": "NJ", "ǌ": "nj"}
-# Kinds of single blanks; invisible characters as a class of regular expressions.
-_BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-_INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
+from quern.sources.tables import arrow_mapped, broadcast_if_bounded, stage_table
+
+# Letters of other scripts, and of phonetic ones, that look like the Latin ones under them.
+_LETTERS = (
+    ("АВЕЅІЈКМНОРСТУХаеѕіјкорсухһԁԛԝүҮӏӀԌԚԜѴѵ", "ABESIJKMHOPCTYXaesijkopcyxhdqwyYlIGQWVv"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABEZHIKMNOPTYXaikvopux"),
+    ("ՍՏՕԼոօհցսզɑɡ", "USOLnohguqag"),
+    ("ᎠᎪᎬᎫᎥᎻᏀᏂᏃᏒᏙᏚᏞᏟᏢᏤᏦᏴᎷᎳᎢ", "DAEJiHGhZRVSLCPVKBMWT"),
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    ("ⲞⲟⲢⲣⲤⲥⲔⲘⲚⲦⲨⲬⲎⲒⲌ", "OoPpCcKMNTYXHIZ"),
+)
+_HYPHENS = "\u2010\u2011"
+# Kinds of compatibility forms that look different from what they stand for; invisible characters.
+_DIFFERENT = ("<super>", "<sub>", "<fraction>", "<circle>")
+_UNSEEN = [
+    0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065),
+    *range(0x2066, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0),
+]
 #: Members of a class of copies that are paired with each other class's in full; rows of a look that meet in one block.
 MOST_COPIES, MOST_VARIANTS = 50, 1000
+_SLICE_BYTES = 4 << 20
+
+
+def _latin() -> dict[str, str]:
+    """Each look-alike letter to its Latin one, without accents."""
+    return {a: b for one, two in _LETTERS for a, b in zip(one, two, strict=True)}
+
+
+def _plain(c: str, latin: dict[str, str]) -> str:
+    """What a character looks like: its canonical parts, and those of compatibility forms that look alike, in Latin letters."""
+    kind, *parts = (unicodedata.decomposition(c) or "-").split()
+    if kind == "-" or kind in _DIFFERENT:
+        return latin.get(c, c)
+    if kind.startswith("<"):
+        if unicodedata.category(c) == "Zs":
+            return " "
+        if parts[0] == "0020":
+            return c  # an accent that stands by itself
+    else:
+        parts = [kind, *parts]
+    return "".join(_plain(chr(int(p, 16)), latin) for p in parts)
+
+
+@functools.cache
+def forms() -> dict[str, str]:
+    """Every character that has another consistent form, with it: from the decompositions of Unicode and the letters above."""
+    latin, out = _latin() | dict.fromkeys(_HYPHENS, "-") | {"\u1680": " "}, {}
+    decomposition = unicodedata.decomposition
+    for c in map(chr, (*range(0xA0, 0xD800), *range(0xE000, 0x323B0), *range(0xE0000, 0xE01F0))):  # no other plane has any
+        if decomposition(c) or c in latin:
+            form = unicodedata.normalize("NFC", _plain(c, latin))
+            if form != unicodedata.normalize("NFC", c):
+                out[c] = form
+    return {c: f for c, f in out.items() if ord(c) not in _UNSEEN}
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _one_of(codes: list[int]) -> str:
+    """A regular expression for one of these code points."""
+    ranges: list[list[int]] = []
+    for c in sorted(codes):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def consistent_sql(column: str) -> str:
-    """SQL of DuckDB for the consistent form of a string column: composed, of full-width forms the normal ones (FF01 to FF5E
-    lie 0xFEE0 above them), blanks of any kind as a plain blank, look-alike letters as Latin ones, ligatures as their
-    letters, without invisible characters. Case, accents, superscripts and digits stay."""
-    wide = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-    blanks = "".join(map(chr, _BLANKS)), " " * len(_BLANKS)
-    pairs = (wide, blanks, (_CYRILLIC, _C_LATIN), (_GREEK, _G_LATIN), (_OTHERS, _O_LATIN))
-    # Invisible characters go first, so that an accent joins its letter; look-alikes come after composing, with accents.
-    sql = f"nfc_normalize(regexp_replace({column}, {_quoted(_INVISIBLE)}, '', 'g'))"
-    sql = f"translate({sql}, {_quoted(''.join(a for a, _ in pairs))}, {_quoted(''.join(b for _, b in pairs))})"
-    for one, letters in _LIGATURES.items():
-        sql = f"replace({sql}, {_quoted(one)}, {_quoted(letters)})"
-    return f"nfc_normalize({sql})"
-
-
-def latin_sql(column: str) -> str:
-    """SQL of DuckDB for a string column with look-alike letters as Latin ones, before an accent can join them: accents then
-    meet the Latin letter, whether they stand by themselves or in a composed letter of the other script."""
-    one = {a: b for a, b in (_BARE | _COMPOSED).items() if len(b) == 1}
-    sql = f"translate({column}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
-    several = {a: b for a, b in _COMPOSED.items() if len(b) > 1}
-    replaced = "bare"
-    for a, letters in several.items():
-        replaced = f"replace({replaced}, {_quoted(a)}, {_quoted(letters)})"
-    # Few texts hold a letter that has no composed Latin one.
-    rare = "[" + "".join(f"\\x{{{ord(a):04X}}}" for a in several) + "]"
-    return f"list_transform([{sql}], lambda bare: CASE WHEN regexp_matches(bare, {_quoted(rare)}) THEN {replaced} ELSE bare END)[1]"
+    """SQL of DuckDB for the consistent form of a string column: without invisible characters, with compatibility forms as what
+    they stand for (but for superscripts, subscripts, fractions and circled ones), blanks of any kind as a plain blank and
+    look-alike letters as Latin ones, composed at the end, so that accents join the Latin letter. Case, accents,
+    superscripts and digits stay. The variable ``forms`` must hold the forms of several characters.
+
+    Each step asks first whether there is anything to do, as translate builds its table for every text."""
+    one = {c: f for c, f in forms().items() if len(f) == 1}
+    several = [ord(c) for c, f in forms().items() if len(f) != 1]
+    unseen, singles, many = _quoted(_one_of(_UNSEEN)), _quoted(_one_of([ord(c) for c in one])), _quoted(_one_of(several))
+    seen = f"CASE WHEN regexp_matches({column}, {unseen}) THEN regexp_replace({column}, {unseen}, '', 'g') ELSE {column} END"
+    spelled = f"list_reduce(list_prepend(x, list_distinct(regexp_extract_all(x, {many}))), lambda t, c: replace(t, c, getvariable('forms')[c]))"
+    translated = f"translate(x, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    for test, step in ((many, spelled), (singles, translated)):
+        seen = f"list_transform([{seen}], lambda x: CASE WHEN regexp_matches(x, {test}) THEN {step} ELSE x END)[1]"
+    return f"nfc_normalize({seen})"
 
 
 def _formed(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(config={"threads": "1", "memory_limit": "512MB"})
+    several = pa.table({"c": [c for c, f in forms().items() if len(f) != 1], "f": [f for f in forms().values() if len(f) != 1]})
+    con.register("several", several)
+    con.execute("SET VARIABLE forms = (SELECT map(list(c), list(f)) FROM several)")
     for batch in batches:
         names = batch.schema.names
-        for a in range(0, batch.num_rows, 2048):
-            part = pa.Table.from_batches([batch.slice(a, 2048)])
+        columns = ", ".join(f"{consistent_sql(_name(n))} AS {_name(n)}" if n in fields else _name(n) for n in names)
+        # Slices of about as many bytes; a longer text is one of its own.
+        size = sum((pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in fields), np.full(batch.num_rows, 64))
+        part_of = (np.cumsum(size) - size) // _SLICE_BYTES
+        starts = np.flatnonzero(np.append(True, part_of[1:] != part_of[:-1])) if batch.num_rows else []
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
             con.register("part", part)
-            columns = ", ".join(f'{consistent_sql(latin_sql(_name(n)))} AS {_name(n)}' if n in fields else _name(n) for n in names)
-            found = con.execute(f"SELECT {columns} FROM part").to_arrow_table()
+            found = con.sql(f"SELECT {columns} FROM part").to_arrow_table()
             con.unregister("part")
             yield from found.cast(part.schema).combine_chunks().to_batches()
     con.close()
@@ -90,7 +132,7 @@ def _name(column: str) -> str:
 def consistent(df: DataFrame, fields: list[str]) -> DataFrame:
     """``df`` with the given string columns in consistent form; nulls stay null, empty texts empty, and all other columns as
     they are (of types that Arrow and DuckDB share). Forms that look the same become equal. Nothing is shuffled."""
-    return df.mapInArrow(lambda b: _formed(b, fields), df.schema)
+    return arrow_mapped(df, lambda b: _formed(b, fields), df.schema)
 
 
 def _rows(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -119,7 +161,7 @@ def look_alike_pairs(df: DataFrame, key: str = "document_id", fields: tuple[str,
     of a look are all paired, however many; their pairs are spread over blocks of about MOST_VARIANTS rows.
     look_alike_classes gives all groups whole, whatever their size.
     """
-    rows = stage_table(_several(_rows(df, key, list(fields))), "looks")
+    rows = stage_table(_several(stage_table(_rows(df, key, list(fields)), "forms")), "looks")
     # Window limits go below the shuffle, so that no task ranks a whole group of copies.
     in_raw = Window.partitionBy(*_FORM, "raw").orderBy("id")
     ranked = rows.withColumn("copy", F.row_number().over(in_raw)).where(F.col("copy") <= MOST_COPIES)
@@ -128,7 +170,7 @@ def look_alike_pairs(df: DataFrame, key: str = "document_id", fields: tuple[str,
 
     def blocks(of: DataFrame) -> DataFrame:
         n = of.groupBy(*_FORM).agg(F.ceil(F.count(F.lit(1)) / MOST_VARIANTS).cast("int").alias("blocks"))
-        return broadcast_if_bounded(n.where("blocks > 1"), 64)
+        return broadcast_if_bounded(n.where("blocks > 1"))
 
     def met(one: DataFrame, two: DataFrame, on: list[str], condition: str) -> DataFrame:
         x, y = one.alias("x"), two.alias("y")
@@ -151,6 +193,6 @@ def look_alike_pairs(df: DataFrame, key: str = "document_id", fields: tuple[str,
 def look_alike_classes(df: DataFrame, key: str = "document_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
     """(field_name, key, class_id, stored_forms, keys): a row for each key whose field looks like another that is stored in
     a different way. class_id is the least key of its look, stored_forms how many ways there are, keys how many keys."""
-    rows = _several(_rows(df, key, list(fields)))
+    rows = _several(stage_table(_rows(df, key, list(fields)), "forms"))
     classes = rows.groupBy(*_FORM).agg(F.min("id").alias("class_id"), F.count_distinct("raw").alias("stored_forms"), F.count_distinct("id").alias("keys"))
     return rows.join(classes, _FORM).where(F.col("keys") > 1).select("field_name", F.col("id").alias(key), "class_id", "stored_forms", "keys").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.leaks import leaked_items, reparameterised_items
-from quern.llm.lookalikes import consistent, consistent_sql, look_alike_classes, look_alike_pairs
+from quern.llm.lookalikes import consistent, look_alike_classes, look_alike_pairs
 from quern.llm.neighbours import similar_pairs
 from quern.llm.pieces import split_oversized
 from quern.llm.shared_spans import shared_share, shared_spans
@@ -61,10 +61,29 @@ def p8_shared_share(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p3_normalised, p6_ids, p7_found, p7_reparameterised, p8_found, p8_shared_share)}
 
 _WS = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The forms of problem 3 as its statement lists them, one character at a time and by code points, for the SQL alone.
+_SEEN = {
+    "а": "a", "е": "e", "ё": "ë", "ѕ": "s", "і": "i", "ї": "ï", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "к": "k", "А": "A", "В": "B", "Е": "E", "Ё": "Ë", "Ѕ": "S", "І": "I",
+    "Ї": "Ï", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
+    "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ι": "i", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
+}
+_UNSEEN = "173, 8203, 8204, 8205, 8206, 8207, 8288, 65039, 65279"
+_CHARACTER = (
+    "CASE WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248) WHEN unicode(c) IN (160, 12288, 8239, 8287) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' '"
+    + f" WHEN unicode(c) IN ({_UNSEEN}) THEN '' "
+    + " ".join(f"WHEN c = '{a}' THEN '{b}'" for a, b in _SEEN.items())
+    + " ELSE c END"
+)
+
+
+def _consistent(column: str) -> str:
+    return f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: {_CHARACTER}), ''))"
+
+
 _FORMS = f"""
 forms AS (
-  SELECT DISTINCT 'title' AS field_name, title AS raw, {consistent_sql("title")} AS form, document_id AS id FROM source_document
-  UNION SELECT DISTINCT 'text', text, {consistent_sql("text")}, document_id FROM source_document),
+  SELECT DISTINCT 'title' AS field_name, title AS raw, {_consistent("title")} AS form, document_id AS id FROM source_document
+  UNION SELECT DISTINCT 'text', text, {_consistent("text")}, document_id FROM source_document),
 f AS (SELECT * FROM forms WHERE raw IS NOT NULL AND id IS NOT NULL)"""
 
 SQL: dict[str, str] = {
@@ -106,5 +125,5 @@ SELECT DISTINCT x.field_name, x.id AS document_id_a, y.id AS document_id_b FROM
     "p3_classes": f"""WITH {_FORMS},
 g AS (SELECT field_name, form, min(id) AS class_id, count(DISTINCT raw) AS stored_forms, count(DISTINCT id) AS keys FROM f GROUP BY ALL)
 SELECT DISTINCT field_name, f.id AS document_id, class_id, stored_forms, keys FROM f JOIN g USING (field_name, form) WHERE stored_forms > 1 AND keys > 1""",
-    "p3_normalised": f"SELECT load_no, {consistent_sql('title')} AS title, {consistent_sql('text')} AS text FROM source_document",
+    "p3_normalised": f"SELECT load_no, {_consistent('title')} AS title, {_consistent('text')} AS text FROM source_document",
 }

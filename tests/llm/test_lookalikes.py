@@ -12,7 +12,14 @@ SAME = [
     ["ABEHOPTX", "АВЕНОРТХ", "ΑΒΕΗΟΡΤΧ", "ＡＢＥＨＯＰＴＸ"],
     ["", "​", "﻿­"],
 ]
-APART = ["x2", "x²", "x3", "X2", "é", "e", "É", "ë", "x 2", "x  2", "１", "2"]
+SAME += [
+    ["VIII l No kg", "Ⅷ ⅼ № ㎏", "VIII\u2007l\u00a0No\u202fkg"],
+    ["AB Fg x", "𝐀𝐁 𝔉𝔤 𝑥", "ＡＢ Ｆｇ ｘ", "ꓮꓐ ꓝɡ х", "ᎪВ Fɡ χ"],
+    ["カタ ガ...", "ｶﾀ ｶﾞ…", "ｶﾀ ガ‥."],
+    ["Uno koxaiu", "Սոo κοχαιυ"],
+    ["a-b", "a‑b", "a‐b"],
+]
+APART = ["x2", "x²", "x3", "X2", "é", "e", "É", "ë", "x 2", "x  2", "１", "2", "½", "1/2", "①", "º", "ª", "¨", "ı", "i"]
 
 
 def rows():
@@ -80,6 +87,6 @@ def test_accents_meet_the_latin_letter(spark):
     texts = [f"Zgj {x} dhe {x}" for pair in same for x in pair] + ["Zgj й Й ή"]
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, title string")
     got = [r["title"] for r in consistent(df, ["title"]).orderBy("n").collect()]
-    assert got[0:-1:2] == got[1:-1:2] == [f"Zgj {x} dhe {x}" for _, x in same] and got[-1] == texts[-1]
+    assert got[0:-1:2] == got[1:-1:2] == [f"Zgj {x} dhe {x}" for _, x in same] and got[-1] == "Zgj й Й H́".replace("H́", "ή")
     pairs = {(r[1], r[2]) for r in look_alike_pairs(df.selectExpr("format_string('%03d', n) document_id", "title", "cast(null as string) text")).collect()}
     assert {(f"{2 * n:03d}", f"{2 * n + 1:03d}") for n in range(len(same))} <= pairs
