@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import sys
 import unicodedata
 from collections.abc import Iterator
 

@@ -50,4 +50,44 @@ def test_reparameterised(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame([(1, None, PASSAGE, ""), (2, twice, None, "")], ITEMS)
     got = {(r["doc_id"], r["item_id"]): r["replaced"] for r in reparameterised_items(df, it).collect()}
-    assert got == {(1, 1): 4, (4, 2): 1}
+    # Document 3 holds a verbatim copy and, along another alignment, a changed one.
+    assert got == {(1, 1): 4, (3, 1): 1, (4, 2): 1}
+
+
+def test_planted_changes_are_found_and_nothing_else(spark):
+    """Questions of 16 to 70 words with one to four slots changed, whole or in longer texts; verbatim copies, copies with other
+    words changed, with slots changed inconsistently and texts that share half an item only are no such cases."""
+    random.seed(12)
+    vocab = ["".join(random.choices("abcdefgjklmnoprstuvz", k=random.randint(3, 8))) for _ in range(900)]
+    names = [w.title() for w in random.sample(vocab, 120)]
+    vocab = [w for w in vocab if w.title() not in names]
+
+    def item():
+        body = [random.choice(vocab) for _ in range(random.randint(16, 70))]
+        places = random.sample(range(2, len(body) - 1), min(4, len(body) // 12 + 1))
+        used = random.sample(names, len(places))
+        for n, p in enumerate(places):
+            body[p] = used[n] if n % 2 else str(random.randint(100, 9999))
+        return body, places
+
+    def changed(body, places, some):
+        out = list(body)
+        for p in random.sample(places, min(some, len(places))):
+            out[p] = random.choice([x for x in names if x not in body]) if out[p][0].isalpha() else str(int(out[p]) + random.randint(10000, 90000))
+        return out
+
+    filler = lambda: [random.choice(vocab) for _ in range(random.randint(0, 60))]
+    items, docs, want = [item() for _ in range(60)], [], set()
+    for n, (body, places) in enumerate(items):
+        for case in range(5):
+            text = changed(body, places, 1 + case % 3) if case < 3 else list(body)
+            if case == 4:  # another word than a slot, every tenth place
+                text[::10] = [random.choice(vocab) for _ in text[::10]]
+            docs.append((n * 10 + case, " ".join(filler() + text + filler())))
+            if case < 3:
+                want.add((n * 10 + case, n))
+        docs.append((n * 10 + 9, " ".join(filler() + changed(body, places, 1)[: len(body) // 2])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    it = spark.createDataFrame([(n, " ".join(b), None, "") for n, (b, _) in enumerate(items)], ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in reparameterised_items(df, it).collect()}
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
