@@ -120,6 +120,13 @@ m AS (SELECT DISTINCT doc_id, k FROM w SEMI JOIN s USING (h)),
 n AS (SELECT *, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 360 THEN 1 ELSE 0 END AS fresh FROM m),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM n)
 SELECT doc_id, CAST(min(k) AS INTEGER) AS span_start, CAST(max(k) + 360 AS INTEGER) AS span_end FROM g GROUP BY doc_id, run""",
+    "p8_shared_share": """
+WITH w AS (SELECT doc_id, k, md5(substr(text, k + 1, 360)) AS h FROM documents, unnest(range(0, length(text) - 359)) AS r(k) WHERE length(text) >= 360),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT DISTINCT doc_id, k FROM w SEMI JOIN s USING (h)),
+c AS (SELECT doc_id, count(DISTINCT x) AS shared FROM m, unnest(range(k, k + 360)) AS r(x) GROUP BY doc_id)
+SELECT doc_id, length(text) AS n_chars, coalesce(shared, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared, 0) / length(text), 6) ELSE 0 END AS shared_part
+FROM documents LEFT JOIN c USING (doc_id)""",
     "p3_found": f"""WITH {_FORMS}
 SELECT DISTINCT x.field_name, x.id AS document_id_a, y.id AS document_id_b FROM f x JOIN f y USING (field_name, form) WHERE x.id < y.id AND x.raw <> y.raw""",
     "p3_classes": f"""WITH {_FORMS},

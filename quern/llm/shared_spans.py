@@ -1,11 +1,14 @@
 """Long exact spans shared between documents, by repeated-phrase automata.
 
 Every stretch of ``LENGTH`` characters holds at least one chosen phrase of ``PHRASE`` characters: the phrase with the least
-hash among those that start in it, which is the same one wherever the stretch occurs. Phrases chosen in two different
-texts are recurring. Their documents are cut into shards of bounded size, each shard's recurring phrases are compiled
-into an Aho-Corasick automaton, and the shard's documents are streamed through it, which gives every occurrence. Around
-an occurrence, the stretches that hold the phrase are compared with those of the other occurrences of the same phrase;
-as all of them overlap, the outermost shared ones give what the occurrence covers.
+hash among those that start in it, which is the same one wherever the stretch occurs. A phrase that two documents have is
+confirmed as recurring. Every document with recurring phrases, copies included, is streamed through the automaton of its
+shard, an Aho-Corasick automaton of the recurring phrases that its documents have, which gives every occurrence of each,
+also where it was not chosen. Around an occurrence, the stretches that hold the phrase are compared with those of the
+other occurrences of the same phrase; as all of them overlap, the outermost shared ones give what the occurrence covers.
+
+Shards are of documents, each of about a megabyte, so that a document is streamed once and an automaton has a few hundred
+phrases; were they of phrases alone, every document would go through all shards, whose number grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.codepoints import Texts, mixed, texts_of
-from quern.sources.tables import stage_table
+from quern.sources.tables import arrow_mapped, broadcast_if_bounded, stage_table
 
 LENGTH, PHRASE = 360, 80
 #: Starts of phrases in a stretch, and characters beside a phrase that a stretch can hold.
 _CHOICES = LENGTH - PHRASE + 1
 _SIDE = LENGTH - PHRASE
-#: Phrases in more texts than this are compared through the shuffle, stretch by stretch, instead of in one task.
-HOT_TEXTS = 20_000
+#: Phrases at more places than this are compared through the shuffle, stretch by stretch, instead of in one task.
+HOT_PLACES = 20_000
+#: A text's copies are streamed in blocks of about so many.
+_COPIES = 1000
 _SHARD_BYTES = 1 << 20
 _BLOCK = 4096  # occurrences compared at once
 _BASE = 0x9E3779B97F4A7C15
@@ -80,90 +85,81 @@ def chosen(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return places, h[places]
 
 
-def _text_digests(t: Texts) -> np.ndarray:
-    import xxhash
-
-    begins = np.concatenate([[0], t.byte_ends[:-1]]).tolist()
-    return np.array([xxhash.xxh3_64_intdigest(t.data[a:b]) for a, b in zip(begins, t.byte_ends.tolist())], np.uint64)
-
-
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(phrase, digest, lo, hi) of (doc_id, text): copies of a text in one group of texts give its phrases once."""
+    """(phrase, digest, place, n, lo, hi, copies) of (doc_id, digest, text): of each text its chosen phrases, with the first
+    place and the number of places; copies of a text in one group of texts give its phrases once."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for t in texts_of(batch.column(1), whole=True):
+        ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        for t in texts_of(batch.column(2), whole=True):
             places, found = chosen(t)
             if not len(places):
                 continue
             text = np.searchsorted(t.ends, places, side="right")
-            digest, doc = _text_digests(t), ids[t.rows]
+            digest, doc = digests[t.rows], ids[t.rows]
             order = np.lexsort((doc, digest))
             first = np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1]))
             lo, hi = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            copies = np.diff(np.append(first, len(doc)))
             group = np.empty(len(doc), np.int64)
-            group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+            group[order] = np.repeat(np.arange(len(first)), copies)
             one = np.zeros(len(doc), bool)
             one[order[first]] = True
             keep = one[text]
-            g = group[text[keep]]
-            pairs = np.unique(np.stack([found[keep], g.astype(np.uint64)]), axis=1)
-            g = pairs[1].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[0].view(np.int64)), pa.array(digest[order][first][g].view(np.int64)), pa.array(lo[g]), pa.array(hi[g])], ["phrase", "digest", "lo", "hi"]
-            )
-
-
-def recurring_phrases(docs: DataFrame, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """(lo, hi, phrases, hot): a row for each text with phrases that another text has, too. lo and hi are the least and
-    greatest of its doc_ids; hot are those of its phrases that stand in more than ``hot_texts`` texts."""
-    found = docs.mapInArrow(_phrases, "phrase long, digest long, lo long, hi long")
+            g, found, places = group[text[keep]], found[keep], places[keep] - t.starts[text[keep]]
+            o = np.lexsort((places, found, g))
+            g, found, places = g[o], found[o], places[o]
+            head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (found[1:] != found[:-1])))
+            n, g = np.diff(np.append(head, len(g))), g[head]
+            columns = (found[head].view(np.int64), digest[order][first][g], places[head].astype(np.int32), n, lo[g], hi[g], copies[g])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["phrase", "digest", "place", "n", "lo", "hi", "copies"])
+
+
+def recurring_phrases(docs: DataFrame, hot_places: int = HOT_PLACES) -> DataFrame:
+    """(digest, copies, phrases): a row for each text with phrases that another document has, too. phrases are structs
+    (place, phrase, hot), the first place in the text and whether the phrase stands at more than ``hot_places`` places."""
+    found = arrow_mapped(docs, _phrases, "phrase long, digest long, place int, n long, lo long, hi long, copies long")
     # Combined before each shuffle; the join of a phrase that very many texts have can be split, which a window can't.
-    of_text = found.groupBy("phrase", "digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # The second condition always holds: it asks for the same columns as the join, so that both share one shuffle.
-    recurring = of_text.groupBy("phrase").agg(F.count(F.lit(1)).alias("__n"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi")).where("__n > 1 AND __hi >= __lo").select("phrase", "__n")
+    of_text = found.groupBy("phrase", "digest").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("copies").alias("copies"))
+    recurring = of_text.groupBy("phrase").agg(F.sum("n").alias("__n"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi")).where("__lo <> __hi").select("phrase", "__n")
+    # Nothing else is asked of the join's other side, so both sides share one shuffle.
     counted = of_text.join(recurring, "phrase")
-    return counted.groupBy("digest").agg(
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.collect_set("phrase").alias("phrases"),
-        F.collect_set(F.when(F.col("__n") > hot_texts, F.col("phrase"))).alias("hot"),
-    ).drop("digest")
+    return counted.groupBy("digest").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("place", "phrase", (F.col("__n") > hot_places).alias("hot"))).alias("phrases"))
 
 
-_OCCURRENCE = "phrase long, hot boolean, lo long, hi long, around string, before int, places array<int>"
+_OCCURRENCE = "phrase long, hot boolean, lo long, hi long, around string, before int, docs array<long>, places array<int>"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each place of each recurring phrase with the characters around it, by one automaton a shard of documents. Places
-    of one document with the same surroundings come in one row."""
+    """Each place of each recurring phrase in (doc_id, text, phrases), with the characters around it, by one automaton a shard
+    of documents. Places with the same surroundings in a shard come in one row, with the document of each."""
     for batch in batches:
-        lo, hi = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for t in texts_of(batch.column(0), whole=True, group_bytes=_SHARD_BYTES):
-            places, found = chosen(t)
-            of = np.searchsorted(t.ends, places, side="right")
-            rows = t.rows[of]
-            numbers = sorted(set(t.rows.tolist()))
-            wanted, hot = ({i: set(batch.column(c)[i].as_py()) for i in numbers} for c in (3, 4))
+        ids, phrases = batch.column(0).to_pylist(), batch.column(2)
+        for t in texts_of(batch.column(1), whole=True, group_bytes=_SHARD_BYTES):
             text = t.cps.astype("<u4").tobytes().decode("utf-32-le")
+            texts: dict[str, list[int]] = {}
+            for i, begin, end in zip(t.rows.tolist(), t.starts.tolist(), t.ends.tolist()):
+                texts.setdefault(text[begin:end], []).append(i)
             automaton = ahocorasick.Automaton()
-            for p, h, i in zip(places.tolist(), found.view(np.int64).tolist(), rows.tolist()):
-                if h in wanted[i]:
-                    automaton.add_word(text[p : p + PHRASE], (h, h in hot[i]))
+            for own, rows in texts.items():
+                for p in phrases[rows[0]].as_py():
+                    automaton.add_word(own[p["place"] : p["place"] + PHRASE], (p["phrase"], p["hot"]))
             if not len(automaton):
                 continue
             automaton.make_automaton()
-            out: dict[tuple, list[int]] = {}
-            for i, begin, end in zip(t.rows.tolist(), t.starts.tolist(), t.ends.tolist()):
-                own = text[begin:end]
-                for last, (h, is_hot) in automaton.iter(own):
+            out: dict[tuple, tuple[list[int], list[int]]] = {}
+            for own, rows in texts.items():
+                docs = [ids[i] for i in rows]
+                for last, (h, hot) in automaton.iter(own):
                     p = last + 1 - PHRASE
                     a = max(0, p - _SIDE)
-                    out.setdefault((h, is_hot, lo[i], hi[i], own[a : p + LENGTH], p - a), []).append(p)
-            columns = list(zip(*out))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(out.values()), pa.list_(pa.int32()))], ["phrase", "hot", "lo", "hi", "around", "before", "places"]
-            )
+                    d, at = out.setdefault((h, hot, own[a : p + LENGTH], p - a), ([], []))
+                    d += docs
+                    at += [p] * len(docs)
+            h, hot, around, before = zip(*out)
+            docs, places = zip(*out.values())
+            columns = (h, hot, [min(d) for d in docs], [max(d) for d in docs], around, before, docs, places)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["phrase", "hot", "lo", "hi", "around", "before", "docs", "places"])
 
 
 class _Stretches:
@@ -210,6 +206,9 @@ def _outermost(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         least[rows] = np.minimum(least[rows], o)
         most[rows] = np.maximum(most[rows], o)
 
+    # What documents of one shard have in common is shared as far as it goes.
+    common = np.flatnonzero((lo != hi) & (s.left + s.right >= _SIDE))
+    least[common], most[common] = np.maximum(0, _SIDE - s.right[common]), np.minimum(_SIDE, s.left[common])
     for o in (0, _SIDE):
         note(_shared(*s.at(o), lo, hi), o)
     # The others need looking at only in groups with an occurrence whose reach is still open at an end.
@@ -228,11 +227,10 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(table: pa.Table) -> pa.RecordBatch:
         least, most = _outermost(table)
-        own = np.flatnonzero((most >= 0) & (table["lo"].to_numpy() == table["hi"].to_numpy()))
-        places = table["places"].combine_chunks().take(pa.array(own))
-        counts = np.array([len(x) for x in places], np.int64)
-        p = places.flatten().to_numpy()
-        doc = np.repeat(table["lo"].to_numpy()[own], counts)
+        own = np.flatnonzero(most >= 0)
+        docs, places = (table[c].combine_chunks().take(pa.array(own)) for c in ("docs", "places"))
+        counts = docs.value_lengths().to_numpy(zero_copy_only=False)
+        doc, p = docs.flatten().to_numpy(), places.flatten().to_numpy()
         return pa.RecordBatch.from_arrays(
             [pa.array(doc), pa.array((p - np.repeat(most[own], counts)).astype(np.int32)), pa.array((p + LENGTH - np.repeat(least[own], counts)).astype(np.int32))], ["doc_id", "a", "b"]
         )
@@ -259,7 +257,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_stretches(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa.RecordBatch]:
-    """All stretches of hot phrases: (h, lo, hi), combined in each batch; or back, (h, doc_id, place, o)."""
+    """All stretches of hot phrases: (h, lo, hi), combined in each batch; or back, (h, docs, places, o)."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             table = pa.Table.from_batches([batch.slice(begin, 512)])
@@ -269,10 +267,8 @@ def _hot_stretches(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa
             rows, h = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             if back:
                 o = np.repeat(np.arange(_SIDE + 1, dtype=np.int32), [len(f[0]) for f in found])
-                places = table["places"].combine_chunks()
-                own = lo[rows] == hi[rows]
-                rows, h, o = rows[own], h[own], o[own]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(lo[rows]), places.take(pa.array(rows)), pa.array(o)], ["h", "doc_id", "places", "o"])
+                docs, places = (table[c].combine_chunks().take(pa.array(rows)) for c in ("docs", "places"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), docs, places, pa.array(o)], ["h", "docs", "places", "o"])
             elif len(h):
                 order = np.argsort(h)
                 first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
@@ -283,14 +279,12 @@ def _hot_stretches(batches: Iterator[pa.RecordBatch], back: bool) -> Iterator[pa
 
 def _hot_covered(occurrences: DataFrame) -> DataFrame:
     """The same as _covered for phrases of many texts: stretches are compared through the shuffle, combined before it."""
-    shared = (
-        occurrences.mapInArrow(lambda b: _hot_stretches(b, False), "h long, lo long, hi long")
-        .groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
-    )
-    back = occurrences.mapInArrow(lambda b: _hot_stretches(b, True), "h long, doc_id long, places array<int>, o int")
-    reach = back.join(shared, "h").groupBy("doc_id", "places").agg(F.min("o").alias("least"), F.max("o").alias("most"))
-    p = F.explode("places").alias("p")
-    return reach.select("doc_id", p, "least", "most").select("doc_id", (F.col("p") - F.col("most")).alias("a"), (F.col("p") + LENGTH - F.col("least")).alias("b"))
+    stretches = arrow_mapped(occurrences, lambda b: _hot_stretches(b, False), "h long, lo long, hi long")
+    shared = stretches.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
+    back = arrow_mapped(occurrences, lambda b: _hot_stretches(b, True), "h long, docs array<long>, places array<int>, o int")
+    reach = back.join(shared, "h").groupBy("docs", "places").agg(F.min("o").alias("least"), F.max("o").alias("most"))
+    each = reach.select(F.explode(F.arrays_zip("docs", "places")).alias("x"), "least", "most")
+    return each.select(F.col("x.docs").alias("doc_id"), (F.col("x.places") - F.col("most")).alias("a"), (F.col("x.places") + LENGTH - F.col("least")).alias("b"))
 
 
 def _runs(intervals: DataFrame) -> DataFrame:
@@ -307,33 +301,32 @@ def _runs(intervals: DataFrame) -> DataFrame:
     )
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_texts: int = HOT_TEXTS) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_places: int = HOT_PLACES) -> DataFrame:
     """(doc_id, span_start, span_end): longest runs of characters that lie in some ``LENGTH`` consecutive ones which the
     text of another doc_id holds, too; starts count from 0 in code points, ends are exclusive.
 
     Null and shorter texts give no rows, rows with a null key take no part, repeated rows count once; should a key have
-    several texts, their runs are joined by position. Texts that several
-    keys have are shared whole and stand in the comparison once, so a group of copies of any size costs no more than its
-    own reading. Keys must be whole numbers. Phrases that very many texts have are compared in another, distributed way
-    with the same result. Nothing grows with the corpus on the driver or in a broadcast.
+    several texts, their runs are joined by position. Keys must be whole numbers. Phrases are sought in one copy of a text
+    for each task; the copies are streamed in blocks spread over tasks. Phrases that stand at very many places are compared
+    in another, distributed way with the same result. Nothing grows with the corpus on the driver or in a broadcast.
     """
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= LENGTH))
-    digests = docs.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("__md5"), F.length("text").alias("n"))
-    copied = digests.groupBy("__md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("__md5")
-    whole = digests.join(copied, "__md5").select("doc_id", F.lit(0).alias("a"), F.col("n").alias("b"))
-
-    phrases = stage_table(recurring_phrases(docs, hot_texts), "phrases")
-    joined = docs.join(phrases.withColumn("doc_id", F.col("lo")), "doc_id").select("text", "lo", "hi", "phrases", "hot")
-    found = joined.mapInArrow(_occurrences, _OCCURRENCE)
-    some_hot = bool(phrases.where(F.size("hot") > 0).limit(1).count())
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= LENGTH))
+    phrases = stage_table(recurring_phrases(docs, hot_places), "phrases")
+    # Texts with very many copies are spread, with their phrases once for each block.
+    many = phrases.where(F.col("copies") > _COPIES).select("digest", F.ceil(F.col("copies") / _COPIES).cast("int").alias("__blocks"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    spread = docs.join(broadcast_if_bounded(many), "digest", "left").withColumn("__block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    told = phrases.withColumn("__block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("copies") / _COPIES)).cast("int") - 1)))
+    joined = spread.join(told, ["digest", "__block"]).select("doc_id", "text", "phrases")
+    found = arrow_mapped(joined, _occurrences, _OCCURRENCE)
+    some_hot = bool(phrases.where(F.exists("phrases", lambda p: p["hot"])).limit(1).count())
     if some_hot:
         found = stage_table(found, "occurrences")
     cold = found.where(~F.col("hot")) if some_hot else found
-    parts = cold.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(_covered, "doc_id long, a int, b int")
+    parts = arrow_mapped(cold.repartition("phrase").sortWithinPartitions("phrase"), _covered, "doc_id long, a int, b int")
     if some_hot:
         parts = parts.unionByName(_hot_covered(found.where("hot")))
-    spans = _runs(parts.unionByName(whole))
-    return spans.withColumnRenamed("doc_id", key)
+    return _runs(parts).withColumnRenamed("doc_id", key)
 
 
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

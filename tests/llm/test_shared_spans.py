@@ -50,7 +50,7 @@ def test_against_brute_force(spark, hot, monkeypatch):
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, span_start string").repartition(5)
     for block in (module._BLOCK, 16):
         monkeypatch.setattr(module, "_BLOCK", block)
-        got = list(map(tuple, shared_spans(df, hot_texts=hot).collect()))
+        got = list(map(tuple, shared_spans(df, hot_places=hot).collect()))
         assert len(got) == len(set(got))
         assert set(got) == brute(docs)
         if hot == 2:
@@ -63,3 +63,13 @@ def test_share_and_empty(spark):
     assert shared_spans(df.limit(0)).count() == 0
     null = spark.createDataFrame([(None, "k" * 500), (1, "k" * 500)], "doc_id long, text string")
     assert shared_spans(null).count() == 0
+
+
+def test_many_copies_in_blocks(spark, monkeypatch):
+    """Copies of one text beyond what a block holds, in several partitions, beside texts that hold a part of it."""
+    monkeypatch.setattr(module, "_COPIES", 7)
+    random.seed(5)
+    copy = "".join(random.choices("abcdefgh ", k=900))
+    docs = [(n, copy) for n in range(50)] + [(100, "x" + copy[300:]), (101, copy[:300] + "y" * 400), (102, copy[:365] + "z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert set(map(tuple, shared_spans(df).collect())) == brute(docs)
