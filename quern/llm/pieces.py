@@ -7,7 +7,6 @@ sizes a piece may have, the cut is made at the most natural boundary there, and
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +15,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.tables import arrow_mapped
+
 #: Tokens of a piece, and of what it repeats of the end of the one before.
 MOST_TOKENS, OVERLAP_TOKENS = 700, 80
 LEVELS = ("paragraph", "sentence", "word", "character")
 #: Words of a sliding block, and the least share of its room that a piece uses if a cut allows it.
-_BLOCK_WORDS, _LEAST_FILL = 40, 0.5
+_BLOCK_WORDS, _LEAST_FILL = 80, 0.5
+_STRETCH = 1024  # words counted at once
 _RUN = regex.compile(r"\s+")
 _OPENER = regex.compile(r"[\p{Lu}\p{Nd}]")
 
@@ -71,47 +73,40 @@ class _Text:
                 return level
         return 3
 
-    def depths(self) -> np.ndarray:
-        """For each boundary before a word, how deep the valley of block similarity is there."""
-        words = [self.text[a:b].strip(".,;:!?()[]\"'«»“”").lower() for a, b in zip(self.starts.tolist(), self.ends.tolist())]
-        n, k = len(words), _BLOCK_WORDS
-        left: Counter = Counter()
-        right: Counter = Counter(words[:k])
-        dot, ll, rr = 0, 0, sum(c * c for c in right.values())
-        out = np.zeros(n)
-        for i in range(n):
-            if ll and rr:
-                out[i] = dot / (ll * rr) ** 0.5
-            w = words[i]  # goes from the right block to the left one
-            dot += right[w] - left[w] - 1
-            rr -= 2 * right[w] - 1
-            ll += 2 * left[w] + 1
-            right[w] -= 1
-            left[w] += 1
-            if i >= k:
-                w = words[i - k]
-                dot -= right[w]
-                ll -= 2 * left[w] - 1
-                left[w] -= 1
-            if i + k < n:
-                w = words[i + k]
-                dot += left[w]
-                rr += 2 * right[w] + 1
-                right[w] += 1
+    def similarities(self, at: np.ndarray) -> np.ndarray:
+        """For the boundaries before these words, the cosine of the counts of words in the blocks before and after; 0 at the start.
+
+        Words are counted along the text, a stretch of words with its own vocabulary at a time; the counts of a block are
+        the difference of two places."""
+        named: dict[str, int] = {}
+        words = np.array([named.setdefault(self.text[a:b].strip(".,;:!?()[]\"'«»“”").lower(), len(named)) for a, b in zip(self.starts.tolist(), self.ends.tolist())])
+        k, out = _BLOCK_WORDS, np.zeros(len(at))
+        for first in range(0, len(words), _STRETCH):
+            some = np.flatnonzero((at >= first) & (at < first + _STRETCH))
+            if not len(some):
+                continue
+            begin, stop = max(0, first - k), min(len(words), first + _STRETCH + k)
+            known, own = np.unique(words[begin:stop], return_inverse=True)
+            counts = np.zeros((stop - begin + 1, len(known)), np.int32)
+            counts[np.arange(1, stop - begin + 1), own] = 1
+            np.cumsum(counts, axis=0, out=counts)
+            here = at[some] - begin
+            until = counts[here]
+            left, right = until - counts[np.maximum(here - k, 0)], counts[np.minimum(here + k, stop - begin)] - until
+            norm = np.sqrt((left * left).sum(1).astype(float) * (right * right).sum(1))
+            out[some] = (left * right).sum(1) / np.where(norm > 0, norm, 1)
         return out
 
 
 def _valleys(similarity: np.ndarray) -> np.ndarray:
     """How far the similarity climbs on both sides of each place."""
 
-    def climbs(s: np.ndarray) -> np.ndarray:
-        peak = s.copy()
-        for i in range(1, len(s)):
-            if s[i - 1] >= s[i]:
-                peak[i] = peak[i - 1]
-        return peak
+    def peaks(s: np.ndarray) -> np.ndarray:
+        # Where the stretch that has only fallen up to here began.
+        falls = np.append(False, s[:-1] >= s[1:])
+        return s[np.maximum.accumulate(np.where(falls, 0, np.arange(len(s))))]
 
-    return climbs(similarity) + climbs(similarity[::-1])[::-1] - 2 * similarity
+    return peaks(similarity) + peaks(similarity[::-1])[::-1] - 2 * similarity
 
 
 def _overlap(t: _Text, begin: int, end: int, start: int, stop: int, most: int, most_tokens: int) -> int:
@@ -129,8 +124,10 @@ def _overlap(t: _Text, begin: int, end: int, start: int, stop: int, most: int, m
 
 
 def pieces(text: str, most_tokens: int = MOST_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> tuple[str | None, list[tuple[int, int]]]:
-    """(level, [(start, end)]) of a text: its pieces as places in it, each with what it repeats. A text of at most
-    ``most_tokens`` is one piece and has no level; one of white space only has no piece."""
+    """(level, [(start, end)]) of a text: its pieces as places in it, each with what it repeats. The level is the finest
+    boundary at which a cut was made: as cuts are made at no finer one than the text needs, and a unit that is too long is
+    always cut, it is the coarsest level that does. A text of at most ``most_tokens`` is one piece and has no level; one of
+    white space only has no piece."""
     if not text.strip():
         return None, []
     t = _Text(text)
@@ -139,7 +136,8 @@ def pieces(text: str, most_tokens: int = MOST_TOKENS, overlap_tokens: int = OVER
     body = room(most_tokens - overlap_tokens)
     level = t.level(body)
     allowed = np.flatnonzero(t.kinds <= level)  # words before which a cut may be
-    similarity = t.depths()
+    similarity, used = np.zeros(len(t.kinds)), 0
+    similarity[allowed] = t.similarities(allowed)
     depth = np.zeros(len(t.kinds))
     for kind in range(min(level, 2) + 1):
         # A boundary is compared with those as natural as itself.
@@ -163,18 +161,19 @@ def pieces(text: str, most_tokens: int = MOST_TOKENS, overlap_tokens: int = OVER
                 cut = int(finest[len(finest) - 1 - int(np.argmax(depth[finest][::-1]))])
             else:
                 cut = int(inside[-1])
+            used = max(used, int(t.kinds[cut]))
             cuts.append((start, int(t.ends[cut - 1])))
             start = int(t.starts[cut])
         else:
             # A word too long for a piece: as many characters as fit.
             end = int(np.searchsorted(t.bytes, t.bytes[start] + body, side="right")) - 1
             cuts.append((start, end))
-            start = end
+            start, used = end, 3
     cuts.append((start, last))
     out = [cuts[0]]
     for before, (a, b) in zip(cuts, cuts[1:]):
         out.append((_overlap(t, before[0], before[1], a, b, room(overlap_tokens), most_tokens), b))
-    return LEVELS[level], out
+    return LEVELS[used], out
 
 
 def _split(batches: Iterator[pa.RecordBatch], most: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -220,6 +219,8 @@ def split_oversized(df: DataFrame, keys: list[str], text: str = "text", most_tok
     """
     chosen = df.where(F.octet_length(text) > room(most_tokens)).select(F.col(text).alias("__text"), *keys)
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return chosen.mapInArrow(
-        lambda b: _split(b, most_tokens, overlap_tokens), f"{kinds}, chunk_index int, piece string, token_count int, cut_at string, piece_start int, piece_end int"
+    return arrow_mapped(
+        chosen,
+        lambda b: _split(b, most_tokens, overlap_tokens),
+        f"{kinds}, chunk_index int, piece string, token_count int, cut_at string, piece_start int, piece_end int",
     )

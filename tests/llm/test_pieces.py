@@ -2,11 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quern.llm import pieces as module
 from quern.llm.pieces import MOST_TOKENS, OVERLAP_TOKENS, pieces, split_oversized, tokens
 
 
@@ -94,3 +97,52 @@ def test_overlap_keeps_the_given_limit():
         assert all(tokens(len(text[a:b].encode())) <= most for a, b in found)
         if most > MOST_TOKENS:
             assert all(a < end for (_, end), (a, _) in zip(found, found[1:]))
+
+
+def test_similarity_and_valleys_against_counts():
+    """Block similarity against the cosine of word counts, and climbs against walking outwards."""
+    random.seed(8)
+    for n in (1, 2, 79, 80, 81, 161, 400, 2500):
+        words = random.choices([f"w{i}" for i in range(60)], k=n)
+        t = module._Text(" ".join(words))
+        got, k = t.similarities(np.arange(n)), module._BLOCK_WORDS
+        for i in range(n):
+            left, right = Counter(words[max(0, i - k) : i]), Counter(words[i : i + k])
+            norm = (sum(c * c for c in left.values()) * sum(c * c for c in right.values())) ** 0.5
+            assert abs(got[i] - (sum(left[w] * right[w] for w in left) / norm if norm else 0)) < 1e-9
+        s = np.round(got, 1)
+        for i, v in enumerate(module._valleys(s)):
+            a = b = i
+            while a > 0 and s[a - 1] >= s[a]:
+                a -= 1
+            while b < n - 1 and s[b + 1] >= s[b]:
+                b += 1
+            assert abs(v - (s[a] + s[b] - 2 * s[i])) < 1e-9
+
+
+def test_cuts_prefer_changes_of_topic():
+    """Texts of paragraphs on changing topics: where a window of sizes holds just one change of topic, the cut is mostly there."""
+    random.seed(21)
+    topics = [["".join(random.choices("abdefgiklmnoprstuvz", k=random.randint(3, 9))) for _ in range(60)] for _ in range(12)]
+    common = ["dhe", "në", "për", "me", "një", "nga", "që", "është"]
+    at_change = possible = 0
+    for _ in range(60):
+        paragraphs, of = [], []
+        for topic in random.sample(topics, 4):
+            for _ in range(random.randint(5, 8)):
+                paragraphs.append(" ".join(random.choice(common if random.random() < 0.2 else topic) for _ in range(25)) + ".")
+                of.append(id(topic))
+        text = "\n\n".join(paragraphs)
+        starts = np.cumsum([0] + [len(p) + 2 for p in paragraphs[:-1]]).tolist()
+        changes = {s for s, a, b in zip(starts[1:], of, of[1:]) if a != b}
+        _, found = pieces(text)
+        ends = [b for _, b in found]
+        begin = 0
+        for end in ends[:-1]:
+            room = module.room(MOST_TOKENS - OVERLAP_TOKENS)
+            inside = [s for s in changes if begin + room * module._LEAST_FILL < s - 2 <= begin + room - 20]
+            if len(inside) == 1:
+                possible += 1
+                at_change += end + 2 == inside[0]
+            begin = end + 2
+    assert possible > 60 and at_change >= 0.8 * possible
