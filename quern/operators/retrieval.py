@@ -1,23 +1,28 @@
 """Batched retrieval: nearest chunks of each source, fusion of rankings, anchors, deduplication, variety and citations.
 
-Requests are rows; a batch of them flows through as joins and windows keyed by the request. The vectors of a batch's
-queries are a stated, bounded set that goes to the workers; chunks are read once and reduced to each query's best before
-anything is shuffled.
+Requests are rows; a batch of them flows through as joins and windows keyed by the request. Chunks are read once and
+reduced to each query's best before anything is shuffled; the vectors of the queries are staged in the shared folder, from
+which the workers read them block by block. Ordered folds, where a hit that is left out hides nothing, run over rows
+sorted by request, one row at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
-from quern.sources.tables import broadcast_if_bounded
+from quern.sources.tables import arrow_mapped, broadcast_if_bounded, pandas_mapped, stage_table
 
-#: Queries whose vectors go to the workers at once; a larger batch is worked on in blocks.
-QUERY_BLOCK = 4096
+#: Queries, and chunks, whose vectors are multiplied at once; bytes of queries that a worker keeps between its batches.
+QUERY_BLOCK, CHUNK_BLOCK, KEPT_BYTES = 2048, 16_384, 64 << 20
+#: Clauses of a plan, rows of a clause, anchors of a request, candidates of a pool (fixed values).
+MOST_CLAUSES, MOST_MATCHES, MOST_ANCHORS, MOST_CANDIDATES = 8, 32, 16, 20
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
@@ -38,56 +43,94 @@ def lenient_distance(left: Column, right: Column) -> Column:
     return F.when(F.size(left) == F.size(right), F.when(scale == 0, 1.0).otherwise(F.lit(1.0) - dot / scale))
 
 
-def _near(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    width = matrix.shape[1]
-    for batch in batches:
-        column = batch.column(2)
-        ok = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False) & (column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width))
-        for begin in range(0, len(ok), 2048):
-            rows = ok[begin : begin + 2048]
-            v = column.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            distance = np.round(np.maximum(0.0, 1.0 - matrix @ unit.T), 6)
-            q, c = np.nonzero(distance <= threshold)
+def _unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of the arrays that are ``width`` wide and have a direction."""
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False) & (column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == width))
+    v = column.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
+    norm = np.linalg.norm(v, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return rows[good], v[good] / norm[good, None]
+
+
+def _query_blocks(folder: str, width: int) -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The staged queries as blocks (ids, unit vectors); kept in memory where they are few, else read again each time."""
+    import pyarrow.dataset as ds
+
+    data = ds.dataset(folder, format="parquet")
+    kept = [] if data.count_rows() * width * 8 <= KEPT_BYTES else None
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if kept:
+            yield from kept
+            return
+        for batch in data.to_batches(columns=["query_id", "embedding"], batch_size=QUERY_BLOCK):
+            rows, unit = _unit_rows(batch.column(1), width)
+            if len(rows):
+                block = batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False), unit
+                if kept is not None:
+                    kept.append(block)
+                yield block
+
+    return blocks
+
+
+def _near(batches: Iterator[pa.RecordBatch], folder: str, width: int, k: int, threshold: float, others: bool) -> Iterator[pa.RecordBatch]:
+    blocks = _query_blocks(folder, width)
+
+    def best(chunks: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunks = chunks.combine_chunks()
+        rows, unit = _unit_rows(chunks["embedding"].chunk(0), width)
+        if not len(rows):
+            return
+        own = chunks["chunk_id"].to_numpy()[rows]
+        sources = chunks["source_id"].chunk(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[rows]
+        for ids, queries in blocks():
+            distance = np.round(np.maximum(0.0, 1.0 - queries @ unit.T), 6)
+            near = distance <= threshold
+            if others:
+                near &= ids[:, None] != own[None, :]
+            q, c = np.nonzero(near)
             if not len(q):
                 continue
-            d = distance[q, c]
-            source = batch.column(1).take(pa.array(rows)).dictionary_encode()
-            s = source.indices.fill_null(-1).to_numpy(zero_copy_only=False)[c]
-            chunk = batch.column(0).take(pa.array(rows)).to_numpy(zero_copy_only=False)[c]
             # No more than k of a query and source can count, whatever the other batches hold.
-            order = np.lexsort((chunk, d, s, q))
+            d, s = distance[q, c], sources[c]
+            order = np.lexsort((own[c], d, s, q))
             q, c, d, s = q[order], c[order], d[order], s[order]
-            new = np.append(True, (q[1:] != q[:-1]) | (s[1:] != s[:-1]))
-            first = np.flatnonzero(new)
+            first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (s[1:] != s[:-1])))
             top = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
             at = pa.array(rows[c[top]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[top]]), batch.column(1).take(at), batch.column(0).take(at), pa.array(d[top])], ["query_id", "source_id", "chunk_id", "distance"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q[top]]), chunks["source_id"].chunk(0).take(at), chunks["chunk_id"].chunk(0).take(at), pa.array(d[top])], ["query_id", "source_id", "chunk_id", "distance"]
+            )
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= CHUNK_BLOCK:
+            yield from best(pa.Table.from_batches(kept))
+            kept = []
+    if kept and sum(b.num_rows for b in kept):
+        yield from best(pa.Table.from_batches(kept))
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(query_id, source_id, chunk_id, distance, rank): each query's k nearest chunks of every source within the threshold.
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, threshold: float, others: bool = False) -> DataFrame:
+    """(query_id, source_id, chunk_id, distance, rank): each query's k nearest chunks of every source within the threshold;
+    with ``others``, without the chunk whose id is the query's own.
 
     ``queries``: (query_id BIGINT, embedding); ``chunks``: (chunk_id, source_id, embedding). Distances are rounded to 6
-    places and ties go to the lesser chunk_id. Queries or chunks whose vector is null, zero, not finite or of another
-    width take no part. The search is exact: chunks are read once a block of queries, reduced to k a query and source
-    in each batch, and only those are shuffled.
+    places and ties go to the lesser chunk_id. Queries or chunks whose vector is null, zero, not finite or not as wide
+    as the widest query's take no part. The search is exact: chunks are read once, multiplied by all queries in
+    blocks read from the shared folder, and reduced to k a query and source before they are shuffled. Nothing of the
+    queries goes through the driver.
     """
     kinds = {n: chunks.schema[n].dataType.simpleString() for n in ("chunk_id", "source_id")}
     schema = f"query_id long, source_id {kinds['source_id']}, chunk_id {kinds['chunk_id']}, distance double"
-    drawn = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()).orderBy("query_id").toPandas()
-    out = None
-    for begin in range(0, max(1, len(drawn)), QUERY_BLOCK):
-        block = drawn.iloc[begin : begin + QUERY_BLOCK]
-        width = len(block["embedding"].iloc[0]) if len(block) else 1
-        usable = [(i, np.asarray(e, np.float64)) for i, e in zip(block["query_id"], block["embedding"]) if len(e) == width]
-        usable = [(i, e / np.linalg.norm(e)) for i, e in usable if np.isfinite(e).all() and np.linalg.norm(e) > 0]
-        sent = chunks.sparkSession.sparkContext.broadcast((np.array([i for i, _ in usable], np.int64), np.array([e for _, e in usable]).reshape(-1, width)))
-        part = chunks.select("chunk_id", "source_id", "embedding").mapInArrow(lambda b, sent=sent: _near(b, *sent.value, k, threshold), schema)
-        out = part if out is None else out.unionByName(part)
+    asked = stage_table(queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "embedding"), "queries")
+    width = asked.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 1
+    folder = asked.inputFiles()[0].rsplit("/", 1)[0] if asked.inputFiles() else None
+    found = arrow_mapped(chunks.select("chunk_id", "source_id", "embedding"), lambda b: _near(b, folder, width, k, threshold, others), schema) if folder else chunks.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id", "source_id").orderBy("distance", "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def near_the_best(hits: DataFrame, slack: float = 0.18) -> DataFrame:
@@ -96,73 +139,119 @@ def near_the_best(hits: DataFrame, slack: float = 0.18) -> DataFrame:
     return hits.withColumn("__best", best).where(F.col("distance") <= F.round(F.col("__best") + slack, 6)).drop("__best")
 
 
-def fused(hits: DataFrame, limit: int = 20) -> DataFrame:
-    """(request_id, chunk_id, score, distance, place): reciprocal rank fusion of a request's rankings, best ``limit``.
+def _folded(rows: DataFrame, by: list[str], order: list[Column], fields: list[str], judge: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows that an ordered fold keeps, with their place in their group from 1. ``judge`` makes a function of a group's
+    state, which says of a row's ``fields``, in order, whether it is kept. Groups are sorted within partitions and passed
+    one row after the other, so the memory is that of a group's state."""
+    names, width = rows.columns, len(by)
+    at = [names.index(f) for f in fields]
 
-    ``hits``: (request_id, query_id, chunk_id, distance). Ranks count from 1 within each query; a chunk's score is the
-    sum of 1 / (60 + rank), rounded to 9 places; equal scores go to the nearer chunk, then to the lesser chunk_id.
-    """
-    rank = F.row_number().over(Window.partitionBy("request_id", "query_id").orderBy("distance", "chunk_id"))
-    scored = hits.withColumn("__rank", rank).groupBy("request_id", "chunk_id").agg(F.round(F.sum(1.0 / (60 + F.col("__rank"))), 9).alias("score"), F.min("distance").alias("distance"))
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "distance", "chunk_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= limit)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, keep, place = None, None, 0
+        for frame in frames:
+            kept, places = [], []
+            columns = [frame[b].tolist() for b in by] + [frame.iloc[:, i].tolist() for i in at]
+            for n, row in enumerate(zip(*columns)):
+                if keep is None or row[:width] != group:
+                    group, keep, place = row[:width], judge(), 0
+                if keep(*row[width:]):
+                    place += 1
+                    kept.append(n)
+                    places.append(place)
+            yield frame.iloc[kept].assign(place=pd.Series(places, index=frame.index[kept], dtype="int64"))
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", place long"
+    return pandas_mapped(rows.repartition(*by).sortWithinPartitions(*by, *order), run, schema)
 
-def without_references(hits: DataFrame) -> DataFrame:
-    """Hits but for those of reference use whose address a detailed hit of the same request has."""
-    detailed = hits.where(~F.col("is_reference")).select("request_id", "url").distinct().withColumn("is_reference", F.lit(True))
-    return hits.join(detailed, ["request_id", "url", "is_reference"], "left_anti")
+
+def without_references(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Hits but for those of reference use whose address a detailed hit of the same group has."""
+    detailed = hits.where(~F.col("is_reference")).select(*by, "url").distinct().withColumn("is_reference", F.lit(True))
+    return hits.join(detailed, [*by, "url", "is_reference"], "left_anti")
 
 
 def document_key(source: Column, record: Column, title: Column) -> Column:
     """A document's identity in a ranking: the record where there is one that is not empty, else the title."""
-    return F.struct(source.alias("source"), F.coalesce(F.nullif(record, F.lit("")), title).alias("item"))
+    return F.concat_ws("\0", source, F.coalesce(F.nullif(record, F.lit("")), title))
 
 
-def _fold(items: Column, merge) -> Column:
-    """A fold over ranked items that keeps some: state (kept, keys, urls)."""
-    kind = F.filter(items, lambda i: F.lit(False))
-    start = F.struct(kind.alias("kept"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("urls"))
-    return F.aggregate(items, start, merge, lambda s: s["kept"])
+def _one_a_document() -> Callable[..., bool]:
+    documents, urls = set(), set()
 
+    def keep(document, url, is_article, tells_url) -> bool:
+        if document in documents or (is_article and url in urls):
+            return False
+        documents.add(document)
+        if is_article or tells_url:
+            urls.add(url)
+        return True
 
-def _ranked_items(hits: DataFrame, fields: list[str], most: int) -> DataFrame:
-    """Each request's hits in order as one array of at most ``most`` (a request's candidates are few by construction)."""
-    order = Window.partitionBy("request_id").orderBy("distance", "chunk_id")
-    few = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    key = F.concat_ws("\0", "source_id", F.coalesce(F.nullif("record_id", F.lit("")), "title"))
-    item = F.struct("place", *[f for f in fields if f != "place"], key.alias("key"))
-    return few.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return keep
 
 
-def deduplicated(hits: DataFrame, most: int = 10_000) -> DataFrame:
-    """(request_id, chunk_id, distance, place): hits in order of distance, one a document, one an address of articles.
+def deduplicated(hits: DataFrame, by: list[str] = ["request_id"]) -> DataFrame:  # noqa: B006
+    """Hits in order of distance, one a document, one an address of articles, with their place in their group.
 
-    ``hits``: (request_id, chunk_id, source_id, record_id, title, url, is_article, is_reference, distance). References
-    with a detailed hit go first (see without_references). Then an ordered fold: a hit is left out if its document was
-    seen, or if it is an article whose address an article was seen with; a window cannot say that exactly, because a
-    hit that is left out hides nothing. Hits of a request beyond ``most`` are refused by an error, not dropped.
+    ``hits``: (by…, chunk_id, source_id, record_id, title, url, is_article, is_keyed, is_reference, distance). References
+    with a detailed hit of their address go first (see without_references). A hit is left out if its document was kept,
+    or if it is an article whose address was kept with another article or with a hit ``is_keyed``. Of equal distances the
+    lesser chunk_id comes first. A hit that is left out hides nothing, so this is a fold, not a window.
     """
-    packed = _ranked_items(without_references(hits), ["chunk_id", "distance", "url", "is_article"], most + 1)
-    packed = packed.withColumn("items", F.when(F.size("items") <= most, F.col("items")).otherwise(F.raise_error(F.lit("a request has too many hits to fold")).cast(packed.schema["items"].dataType)))
+    rest = without_references(hits, by).withColumn("__document", document_key(F.col("source_id"), F.col("record_id"), F.col("title")))
+    return _folded(rest, by, [F.col("distance"), F.col("chunk_id")], ["__document", "url", "is_article", "is_keyed"], _one_a_document).drop("__document")
+
+
+def fused(hits: DataFrame, limit: int = MOST_CANDIDATES) -> DataFrame:
+    """(request_id, chunk_id, …, score, place): reciprocal rank fusion of a request's rankings, best ``limit``.
 
-    def merge(s: Column, i: Column) -> Column:
-        seen = F.array_contains(s["keys"], i["key"]) | (i["is_article"] & F.array_contains(s["urls"], i["url"]))
-        took = F.struct(F.array_append(s["kept"], i).alias("kept"), F.array_append(s["keys"], i["key"]).alias("keys"), F.when(i["is_article"], F.array_append(s["urls"], i["url"])).otherwise(s["urls"]).alias("urls"))
-        return F.when(seen, s).otherwise(took)
+    ``hits`` are as in deduplicated, with query_id. Ranks count from 1 among the deduplicated hits of each query; a chunk's
+    score is the sum of 1 / (60 + rank), rounded to 9 places. The pool is the request's deduplicated hits, each with its
+    least distance; equal scores go to the nearer chunk, then to the lesser chunk_id.
+    """
+    ranked = deduplicated(hits, ["request_id", "query_id"])
+    scores = ranked.groupBy("request_id", "chunk_id").agg(F.round(F.sum(1.0 / (60 + F.col("place"))), 9).alias("score"))
+    nearest_hit = F.row_number().over(Window.partitionBy("request_id", "chunk_id").orderBy("distance", "query_id"))
+    pool = deduplicated(hits.withColumn("__r", nearest_hit).where("__r = 1").drop("__r", "query_id")).drop("place")
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "distance", "chunk_id"))
+    return pool.join(scores, ["request_id", "chunk_id"], "left").fillna(0.0, ["score"]).withColumn("place", place).where(F.col("place") <= limit)
 
-    kept = packed.select("request_id", F.posexplode(_fold(F.col("items"), merge)).alias("p", "i"))
-    return kept.select("request_id", "i.chunk_id", "i.distance", (F.col("p") + 1).alias("place"))
+
+def article_keys(urls: Column, hosts: list[str]) -> Column:
+    """The articles that an array of addresses names on some hosts: the number after ``-i`` at a path's end, else the path."""
+    path = lambda u: F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    own = F.filter(F.coalesce(urls, F.array().cast("array<string>")), lambda u: u.isNotNull() & host(u).isin(*hosts))
+    return F.array_distinct(F.transform(own, lambda u: F.coalesce(F.nullif(F.regexp_extract(path(u), r"-i(\d+)$", 1), F.lit("")), path(u))))
 
 
 def diversified(hits: DataFrame, limit: int = 7, per_source: int = 3) -> DataFrame:
-    """(request_id, chunk_id, distance, place): the first hits with one a document and ``per_source`` a source."""
-    by_key = Window.partitionBy("request_id", document_key(F.col("source_id"), F.col("record_id"), F.col("title"))).orderBy("distance", "chunk_id")
-    one = hits.withColumn("__r", F.row_number().over(by_key)).where("__r = 1")
-    by_source = Window.partitionBy("request_id", "source_id").orderBy("distance", "chunk_id")
-    few = one.withColumn("__r", F.row_number().over(by_source)).where(F.col("__r") <= per_source)
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("distance", "chunk_id"))
-    return few.withColumn("place", place).where(F.col("place") <= limit).select("request_id", "chunk_id", "distance", "place")
+    """Hits that an ordered choice keeps, with their place: one a document, one an article, ``per_source`` a source.
+
+    ``hits``: (request_id, chunk_id, source_id, record_id, title, articles, is_reference, distance, bonus), articles being
+    the keys of all its addresses (see article_keys). The order is by distance less bonus, then chunk_id. A hit that
+    shares an article with one kept before is left out, as is a reference that shares one with any detailed hit.
+    """
+    detailed = hits.where(~F.col("is_reference")).select("request_id", F.explode("articles").alias("__a")).groupBy("request_id").agg(F.collect_set("__a").alias("__detailed"))
+    known = hits.join(detailed, "request_id", "left").where(~(F.col("is_reference") & F.coalesce(F.arrays_overlap("articles", "__detailed"), F.lit(False)))).drop("__detailed")
+
+    def choice() -> Callable[..., bool]:
+        documents, articles, sources = set(), set(), {}
+        taken = [0]
+
+        def keep(document, source, own) -> bool:
+            own = set(own) if own is not None else set()
+            if taken[0] >= limit or own & articles or document in documents or sources.get(source, 0) >= per_source:
+                return False
+            taken[0] += 1
+            documents.add(document)
+            articles.update(own)
+            sources[source] = sources.get(source, 0) + 1
+            return True
+
+        return keep
+
+    keyed = known.withColumns({"__document": document_key(F.col("source_id"), F.col("record_id"), F.col("title")), "__order": F.col("distance") - F.coalesce("bonus", F.lit(0.0))})
+    return _folded(keyed, ["request_id"], [F.col("__order"), F.col("chunk_id")], ["__document", "source_id", "articles"], choice).drop("__document", "__order")
 
 
 def recency_bonus(as_of: Column, *days: Column) -> Column:
@@ -172,30 +261,83 @@ def recency_bonus(as_of: Column, *days: Column) -> Column:
 
 
 def anchored(pool: DataFrame, anchors: DataFrame, limit: int = 20) -> DataFrame:
-    """(request_id, chunk_id, place): anchors first, then the pool without documents that an anchor has, up to ``limit``."""
+    """(request_id, chunk_id, place): anchors first, then the pool without documents that an anchor has, up to ``limit``; both
+    in order of their own place, (request_id, chunk_id, source_id, item, distance, place)."""
     keys = anchors.select("request_id", "source_id", "item").distinct()
     rest = pool.join(keys, ["request_id", "source_id", "item"], "left_anti")
-    both = anchors.select("request_id", "chunk_id", F.lit(0).alias("p"), "distance").unionByName(rest.select("request_id", "chunk_id", F.lit(1).alias("p"), "distance"))
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy("p", "distance", "chunk_id"))
+    both = anchors.select("request_id", "chunk_id", F.lit(0).alias("p"), "place", "distance").unionByName(rest.select("request_id", "chunk_id", F.lit(1).alias("p"), "place", "distance"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("p", "place", "distance", "chunk_id"))
     return both.withColumn("place", place).where(F.col("place") <= limit).select("request_id", "chunk_id", "place")
 
 
-def clause_matches(rows: DataFrame, clauses: DataFrame, key: str, fields: list[str], limit: int = 32) -> DataFrame:
-    """(clause_id, key): rows that satisfy every condition of a clause, at most ``limit`` a clause, the least keys first.
+def compiled_clauses(plans: DataFrame, most: int = MOST_CLAUSES) -> DataFrame:
+    """(request_id, clause, field, op, text, number): the conditions of the first ``most`` clauses of each plan.
 
-    ``clauses``: (clause_id, field, op, value) with op one of ==, >=, <, a bounded table; conditions on fields that are
-    null or of other names never hold. Rows are unpivoted to the named fields and each condition is met by a broadcast
-    join; conditions are counted before they are shuffled.
+    ``plans``: (request_id, prefixes, days, dates, section, totals). In this order: for each prefix a range of publishers,
+    for each day its number, for each date one clause of the event's and one of the research's, the section unless it is
+    ``none`` or null, and the overview where totals are asked for. Null arrays are empty.
     """
-    total = clauses.groupBy("clause_id").agg(F.count(F.lit(1)).alias("n"))
-    wanted = broadcast_if_bounded(clauses.join(total, "clause_id"))
-    pairs = rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select(key, "x.*")
-    met = pairs.join(wanted, "field").where(
-        F.when(F.col("op") == "==", F.col("v") == F.col("value")).when(F.col("op") == ">=", F.col("v") >= F.col("value")).when(F.col("op") == "<", F.col("v") < F.col("value"))
+    kind = "array<struct<field:string,op:string,text:string,number:bigint>>"
+    one = lambda field, op, text=None, number=None: F.struct(
+        F.lit(field).alias("field"), F.lit(op).alias("op"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if number is None else number).cast("bigint").alias("number")
     )
-    full = met.groupBy("clause_id", key, "n").agg(F.count(F.lit(1)).alias("m")).where("n = m")
-    order = Window.partitionBy("clause_id").orderBy(key)
-    return full.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).select("clause_id", key)
+    none = F.array().cast(f"array<{kind}>")
+    each = lambda c, make: F.coalesce(F.transform(c, make), none)
+    parts = [
+        each("prefixes", lambda p: F.array(one("publisher", ">=", p), one("publisher", "<", F.concat(p, F.lit("\uf8ff"))))),
+        each("days", lambda d: F.array(one("protest_day", "==", number=d))),
+        F.coalesce(F.flatten(F.transform("dates", lambda d: F.array(*(F.array(one(f, "==", d)) for f in ("event_date", "research_date"))))), none),
+        F.when(F.col("section") != "none", F.array(F.array(one("section", "==", F.col("section"))))).otherwise(none),
+        F.when(F.col("totals"), F.array(F.array(one("content_type", "==", F.lit("map-overview"))))).otherwise(none),
+    ]
+    clauses = F.slice(F.concat(*parts), 1, most)
+    return plans.select("request_id", F.posexplode(clauses).alias("clause", "c")).select("request_id", "clause", F.explode("c").alias("c")).select("request_id", "clause", "c.*")
+
+
+def clause_matches(rows: DataFrame, clauses: DataFrame, key: str, fields: list[str], limit: int = MOST_MATCHES) -> DataFrame:
+    """(request_id, clause, key): rows that satisfy every condition of a clause, at most ``limit`` a clause, the least keys first.
+
+    ``clauses`` are those of compiled_clauses: == compares with the text or the number, whichever the condition has; >= and
+    < hold only between texts. Types are strict: a number is never equal to a text, and a condition on a field that is null,
+    of another type or of another name never holds. Rows are unpivoted to the named fields; equal values meet by a hash
+    join, so a row meets only the conditions it satisfies, and ranges by the field alone.
+    """
+    ident = ["request_id", "clause"]
+    total = clauses.groupBy(*ident).agg(F.count(F.lit(1)).alias("n"))
+    wanted = broadcast_if_bounded(clauses.join(total, ident))
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    values = [
+        F.struct(
+            F.lit(f).alias("field"),
+            (F.col(f) if isinstance(types[f], StringType) else F.lit(None)).cast("string").alias("text"),
+            (F.col(f) if isinstance(types[f], NumericType) else F.lit(None)).cast("decimal(38,9)").alias("number"),
+        )
+        for f in fields
+    ]
+    pairs = rows.select(F.col(key).alias("__key"), F.explode(F.array(*values)).alias("x")).select("__key", "x.*").where("text is not null or number is not null")
+    pairs = pairs.select("__key", "field", "text", "number", F.coalesce(F.concat(F.lit("t"), "text"), F.concat(F.lit("n"), F.col("number").cast("string"))).alias("__value"))
+    equal = wanted.where("op = '=='").withColumn("__value", F.coalesce(F.concat(F.lit("t"), "text"), F.concat(F.lit("n"), F.col("number").cast("decimal(38,9)").cast("string")))).drop("text", "number")
+    ranges = wanted.where("op <> '=='").withColumnRenamed("text", "__text").drop("number")
+    within = F.when(F.col("op") == ">=", F.col("text") >= F.col("__text")).when(F.col("op") == "<", F.col("text") < F.col("__text"))
+    met = pairs.join(equal, ["field", "__value"]).select(*ident, "n", "__key").unionByName(pairs.join(ranges, "field").where(within).select(*ident, "n", "__key"))
+    full = met.groupBy(*ident, "__key", "n").agg(F.count(F.lit(1)).alias("m")).where("n = m")
+    order = Window.partitionBy(*ident).orderBy("__key")
+    return full.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).select(*ident, F.col("__key").alias(key))
+
+
+def metadata_anchors(matches: DataFrame, chunks: DataFrame, queries: DataFrame, most: int = MOST_ANCHORS) -> DataFrame:
+    """The chunks that clauses matched, as anchors of their request: (request_id, chunk fields…, distance, place).
+
+    ``matches``: (request_id, clause, chunk_id); ``chunks``: the fields of deduplicated with section, chunk_index and
+    embedding; ``queries``: (request_id, embedding). Of the section ``index`` only the first chunk counts. The distance is
+    the least to any query of the request; anchors are deduplicated in its order (then chunk_id) and the first count.
+    """
+    first = ~(F.col("section").eqNullSafe("index") & (F.coalesce("chunk_index", F.lit(0)) != 0))
+    own = matches.select("request_id", "chunk_id").distinct().join(chunks.where(first), "chunk_id")
+    asked = queries.select("request_id", F.col("embedding").alias("__q"))
+    near = own.join(asked, "request_id").withColumn("distance", F.round(cosine_distance(F.col("__q"), F.col("embedding")), 6)).drop("__q", "embedding")
+    least = near.groupBy(*[c for c in near.columns if c != "distance"]).agg(F.min("distance").alias("distance"))
+    return deduplicated(least).where(F.col("place") <= most)
 
 
 def cited(passages: DataFrame) -> DataFrame:

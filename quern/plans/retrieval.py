@@ -17,8 +17,26 @@ def _vectors(spark, base):
 def _hits(spark, base, k=8):
     chunks = _vectors(spark, base)
     queries = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    found = r.nearest(queries, chunks, k, THRESHOLD).where("chunk_id <> query_id")
-    return found.withColumn("request_id", F.floor(F.col("query_id") / 100))
+    return r.nearest(queries, chunks, k, THRESHOLD, others=True).withColumn("request_id", F.floor(F.col("query_id") / 100))
+
+
+def _described(rows):
+    """Chunks by number with what rankings look at: records that are empty, articles under one address, references."""
+    n = F.col("chunk_id")
+    return rows.withColumns(
+        {
+            "record_id": F.when(n % 3 == 0, "").otherwise((n % 40).cast("string")),
+            "title": F.concat(F.lit("t"), (n % 25).cast("string")),
+            "url": F.concat(F.lit("https://www.news.example/a-i"), (n % 30).cast("string")),
+            "is_article": n % 2 == 0,
+            "is_keyed": n % 10 == 1,
+            "is_reference": n % 7 == 0,
+        }
+    )
+
+
+def _pool(spark, base):
+    return r.fused(_described(_hits(spark, base)))
 
 
 def knn_topk_per_source(spark, base):
@@ -26,7 +44,7 @@ def knn_topk_per_source(spark, base):
 
 
 def rrf_fusion_pool(spark, base):
-    return r.fused(_hits(spark, base)).withColumn("place", F.col("place").cast("bigint"))
+    return _pool(spark, base).select("request_id", "chunk_id", "score", "distance", F.col("place").cast("bigint").alias("place"))
 
 
 def recent_relative_filter(spark, base):
@@ -38,20 +56,17 @@ def min_distance_over_queries(spark, base):
 
 
 def _documents_hit(spark, base):
-    return _hits(spark, base).groupBy("request_id", "chunk_id", "source_id").agg(F.min("distance").alias("distance")).withColumns(
-        {"record_id": F.when(F.col("chunk_id") % 3 == 0, "").otherwise((F.col("chunk_id") % 40).cast("string")), "title": F.concat(F.lit("t"), (F.col("chunk_id") % 25).cast("string"))}
-    )
+    return _described(_hits(spark, base).groupBy("request_id", "chunk_id", "source_id").agg(F.min("distance").alias("distance")))
 
 
 def diversify_cap_per_source(spark, base):
-    return r.diversified(_documents_hit(spark, base)).withColumn("place", F.col("place").cast("bigint"))
+    aliases = F.array(F.col("url"), F.concat(F.lit("https://NEWS.example:443/p/"), (F.col("chunk_id") % 45).cast("string"), F.lit("/?q")), F.lit("https://other.example/a-i1"))
+    hits = _documents_hit(spark, base).withColumns({"articles": r.article_keys(aliases, ["news.example", "www.news.example"]), "bonus": F.round(F.col("chunk_id") % 9 / 100, 2)})
+    return r.diversified(hits).select("request_id", "chunk_id", "distance", "place")
 
 
 def deduplicate_fold(spark, base):
-    hits = _documents_hit(spark, base).withColumns(
-        {"record_id": F.col("chunk_id").cast("string"), "url": F.concat(F.lit("u"), (F.col("chunk_id") % 30).cast("string")), "is_article": F.lit(True), "is_reference": F.col("chunk_id") % 7 == 0}
-    )
-    return r.deduplicated(hits).withColumn("place", F.col("place").cast("bigint"))
+    return r.deduplicated(_documents_hit(spark, base)).select("request_id", "chunk_id", "distance", "place")
 
 
 def recency_bonus_rank(spark, base):
@@ -62,21 +77,42 @@ def recency_bonus_rank(spark, base):
 
 
 def anchors_override_pool(spark, base):
-    pool = _documents_hit(spark, base).withColumn("item", F.coalesce(F.nullif("record_id", F.lit("")), "title"))
-    return r.anchored(pool, pool.where("source_id = 3")).withColumn("place", F.col("place").cast("bigint"))
+    pool = _pool(spark, base).withColumn("item", F.coalesce(F.nullif("record_id", F.lit("")), "title"))
+    chunks = _described(_vectors(spark, base)).withColumns({"section": F.when(F.col("chunk_id") % 4 == 0, "index"), "chunk_index": (F.col("chunk_id") % 8).cast("int")})
+    queries = _vectors(spark, base).where("chunk_id % 50 = 0").select(F.floor(F.col("chunk_id") / 100).alias("request_id"), "embedding")
+    matches = chunks.where("source_id = 3 and chunk_id % 6 < 4").select("chunk_id").crossJoin(F.broadcast(queries.select("request_id").distinct()))
+    anchors = r.metadata_anchors(matches.withColumn("clause", F.lit(0)), chunks, queries).withColumn("item", F.coalesce(F.nullif("record_id", F.lit("")), "title"))
+    return r.anchored(pool, anchors).withColumn("place", F.col("place").cast("bigint"))
+
+
+def _search_plans(spark, base):
+    n = F.col("item_id")
+    return table(spark, base, "eval_item").select(
+        n.alias("request_id"),
+        F.when(n % 3 > 0, F.array(F.char(65 + n % 26), F.char(97 + n % 26))).alias("prefixes"),
+        F.when(n % 4 > 0, F.sequence(n % 5, n % 5 + 2)).alias("days"),
+        F.when(n % 5 > 0, F.array(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 400).cast("int")), "yyyy-MM-dd"), F.lit("7"))).alias("dates"),
+        F.when(n % 2 == 0, "none").otherwise(F.element_at(F.array(*map(F.lit, ("news", "dossier", "index"))), (n % 3 + 1).cast("int"))).alias("section"),
+        (n % 7 == 0).alias("totals"),
+    )
+
+
+def plan_clauses(spark, base):
+    return r.compiled_clauses(_search_plans(spark, base)).withColumn("clause", F.col("clause").cast("bigint"))
 
 
 def metadata_clause_match(spark, base):
-    clauses = spark.createDataFrame(
-        [(1, "title", ">=", "Open"), (1, "title", "<", "Open\uf8ff"), (2, "content_type", "==", "news"), (2, "language", "==", "sq"), (3, "content_type", "==", "map"), (4, "none", "==", "x")],
-        "clause_id int, field string, op string, value string",
-    )
-    return r.clause_matches(table(spark, base, "source_document"), clauses, "load_no", ["title", "content_type", "language"])
+    docs = table(spark, base, "source_document").select(
+        "load_no", F.trim("source_label").alias("publisher"), (F.col("load_no") % 9).alias("protest_day"), F.date_format("fetched_at", "yyyy-MM-dd").alias("event_date"),
+        (F.col("load_no") % 9).alias("research_date"), F.col("content_type").alias("section"), "content_type",
+    )
+    found = r.clause_matches(docs, r.compiled_clauses(_search_plans(spark, base)), "load_no", [c for c in docs.columns if c != "load_no"])
+    return found.withColumn("clause", F.col("clause").cast("bigint"))
 
 
 def reference_suppression(spark, base):
     docs = table(spark, base, "documents").where("text is not null").select(F.lit(0).alias("request_id"), "doc_id", F.sha2("text", 256).alias("url"), (F.col("doc_id") % 2 == 0).alias("is_reference"))
-    return r.without_references(docs).select("doc_id")
+    return r.without_references(docs, ["request_id"]).select("doc_id")
 
 
 def citations_render(spark, base):
@@ -92,7 +128,7 @@ def evidence_blocks(spark, base):
 
 
 def selection_by_label(spark, base):
-    pool = r.fused(_hits(spark, base))
+    pool = _pool(spark, base)
     picks = pool.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("request_id", F.array(F.lit("C3"), F.lit("C1")).alias("labels"))
     return r.selected(picks, pool).withColumn("place", F.col("place").cast("bigint"))
 
@@ -110,25 +146,55 @@ def plan_bounds(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     knn_topk_per_source, rrf_fusion_pool, recent_relative_filter, min_distance_over_queries, diversify_cap_per_source, deduplicate_fold, recency_bonus_rank,
-    anchors_override_pool, metadata_clause_match, reference_suppression, citations_render, evidence_blocks, selection_by_label, plan_bounds,
+    anchors_override_pool, plan_clauses, metadata_clause_match, reference_suppression, citations_render, evidence_blocks, selection_by_label, plan_bounds,
 )}
 
-_HITS = f"""WITH d AS (
+_HITS = f"""WITH RECURSIVE d AS (
   SELECT q.vec_id AS query_id, c.label AS source_id, c.vec_id AS chunk_id, round(greatest(0, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6) AS distance
-  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
+  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY distance, chunk_id) AS rank FROM d WHERE distance <= {THRESHOLD}),
-hits AS (SELECT *, query_id // 100 AS request_id FROM k WHERE rank <= 8 AND chunk_id <> query_id)"""
+hits AS (SELECT *, query_id // 100 AS request_id FROM k WHERE rank <= 8)"""
+
+
+def _described_sql(name, rows):
+    return f""", {name} AS (SELECT *, source_id || '/' || coalesce(nullif(CASE WHEN chunk_id % 3 = 0 THEN '' ELSE CAST(chunk_id % 40 AS VARCHAR) END, ''), 't' || (chunk_id % 25)) AS doc,
+  chunk_id % 30 AS url, chunk_id % 2 = 0 AS art, chunk_id % 10 = 1 AS keyed, chunk_id % 7 = 0 AS ref FROM {rows})"""
+
+
+def _folded_sql(name, rows, by):
+    """An ordered fold step by step: a row after the other of each group, with the documents and addresses kept so far."""
+    keys, same = ", ".join(by), " AND ".join(f"x.{b} = m.{b}" for b in by)
+    return f""", {name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY distance, chunk_id) AS pos FROM {rows} m
+  WHERE NOT (ref AND EXISTS (SELECT 1 FROM {rows} x WHERE {same} AND x.url = m.url AND NOT x.ref))),
+{name}_f AS (SELECT DISTINCT {keys}, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS docs, CAST([] AS BIGINT[]) AS urls, CAST(NULL AS BIGINT) AS chunk_id, false AS kept FROM {name}_o
+  UNION ALL SELECT {", ".join("o." + b for b in by)}, o.pos, CASE WHEN took THEN list_append(f.docs, o.doc) ELSE f.docs END, CASE WHEN took AND (o.art OR o.keyed) THEN list_append(f.urls, o.url) ELSE f.urls END, o.chunk_id, took
+  FROM {name}_f f JOIN {name}_o o ON {" AND ".join(f"o.{b} = f.{b}" for b in by)} AND o.pos = f.pos + 1,
+    LATERAL (SELECT NOT (list_contains(f.docs, o.doc) OR (o.art AND list_contains(f.urls, o.url))) AS took) t),
+{name} AS (SELECT o.*, row_number() OVER (PARTITION BY {", ".join("o." + b for b in by)} ORDER BY o.pos) AS place FROM {name}_o o JOIN {name}_f f ON {" AND ".join(f"o.{b} = f.{b}" for b in by)} AND o.pos = f.pos WHERE f.kept)"""
+
+
 _FUSED = (
     _HITS
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY request_id, query_id ORDER BY distance, chunk_id) AS rr FROM hits),
-s AS (SELECT request_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rr)), 9) AS score, min(distance) AS distance FROM r GROUP BY ALL),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, distance, chunk_id) AS place FROM s) WHERE place <= 20)"""
-)
-_DOCS = (
-    _HITS
-    + """, m AS (SELECT request_id, chunk_id, source_id, min(distance) AS distance FROM hits GROUP BY ALL),
-docs AS (SELECT *, coalesce(nullif(CASE WHEN chunk_id % 3 = 0 THEN '' ELSE CAST(chunk_id % 40 AS VARCHAR) END, ''), 't' || (chunk_id % 25)) AS item FROM m)"""
+    + _described_sql("h", "hits")
+    + _folded_sql("r", "h", ["request_id", "query_id"])
+    + ", u AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY distance, query_id) AS n FROM h) WHERE n = 1)"
+    + _folded_sql("p", "u", ["request_id"])
+    + """, s AS (SELECT request_id, chunk_id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM r GROUP BY ALL),
+pool AS (SELECT * FROM (SELECT p.* EXCLUDE place, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(score, 0) DESC, distance, chunk_id) AS place FROM p LEFT JOIN s USING (request_id, chunk_id)) WHERE place <= 20)"""
 )
+_DOCS = _HITS + ", m AS (SELECT request_id, chunk_id, source_id, min(distance) AS distance FROM hits GROUP BY ALL)" + _described_sql("docs", "m")
+_PLANS = """WITH p AS (SELECT item_id AS n, item_id AS request_id, CASE WHEN n % 3 > 0 THEN [chr(CAST(65 + n % 26 AS INT)), chr(CAST(97 + n % 26 AS INT))] ELSE [] END AS prefixes,
+  CASE WHEN n % 4 > 0 THEN [n % 5, n % 5 + 1, n % 5 + 2] ELSE [] END AS days, CASE WHEN n % 5 > 0 THEN [strftime(DATE '2024-01-01' + CAST(n % 400 AS INT), '%Y-%m-%d'), '7'] ELSE [] END AS dates,
+  CASE WHEN n % 2 = 0 THEN 'none' ELSE ['news', 'dossier', 'index'][n % 3 + 1] END AS section, n % 7 = 0 AS totals FROM eval_item),
+c AS (
+  SELECT request_id, 1 AS kind, i, 0 AS j, 'publisher' AS field, '>=' AS op, prefixes[i] AS text, NULL::BIGINT AS number FROM p, unnest(range(1, len(prefixes) + 1)) AS r(i)
+  UNION ALL SELECT request_id, 1, i, 0, 'publisher', '<', prefixes[i] || chr(63743), NULL FROM p, unnest(range(1, len(prefixes) + 1)) AS r(i)
+  UNION ALL SELECT request_id, 2, i, 0, 'protest_day', '==', NULL, days[i] FROM p, unnest(range(1, len(days) + 1)) AS r(i)
+  UNION ALL SELECT request_id, 3, i, 0, 'event_date', '==', dates[i], NULL FROM p, unnest(range(1, len(dates) + 1)) AS r(i)
+  UNION ALL SELECT request_id, 3, i, 1, 'research_date', '==', dates[i], NULL FROM p, unnest(range(1, len(dates) + 1)) AS r(i)
+  UNION ALL SELECT request_id, 4, 0, 0, 'section', '==', section, NULL FROM p WHERE section <> 'none'
+  UNION ALL SELECT request_id, 5, 0, 0, 'content_type', '==', 'map-overview', NULL FROM p WHERE totals),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY request_id ORDER BY kind, i, j) - 1 AS clause FROM c)"""
 
 SQL = {
     "knn_topk_per_source": _HITS + " SELECT query_id, source_id, chunk_id, distance, rank FROM hits",
@@ -136,23 +202,31 @@ SQL = {
     "recent_relative_filter": _HITS + " SELECT query_id, chunk_id, distance FROM (SELECT *, min(distance) OVER (PARTITION BY query_id) AS b FROM hits) WHERE distance <= round(b + 0.18, 6)",
     "min_distance_over_queries": _HITS + " SELECT request_id, chunk_id, min(distance) AS distance FROM hits GROUP BY ALL",
     "diversify_cap_per_source": _DOCS
-    + """, a AS (SELECT *, row_number() OVER (PARTITION BY request_id, source_id, item ORDER BY distance, chunk_id) AS x FROM docs),
-b AS (SELECT *, row_number() OVER (PARTITION BY request_id, source_id ORDER BY distance, chunk_id) AS y FROM a WHERE x = 1),
-c AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, chunk_id) AS place FROM b WHERE y <= 3)
-SELECT request_id, chunk_id, distance, place FROM c WHERE place <= 7""",
-    "deduplicate_fold": _HITS
-    + """, m AS (SELECT request_id, chunk_id, min(distance) AS distance, chunk_id % 30 AS u, chunk_id % 7 = 0 AS ref FROM hits GROUP BY request_id, chunk_id),
-n AS (SELECT * FROM m WHERE NOT (ref AND EXISTS (SELECT 1 FROM m x WHERE x.request_id = m.request_id AND x.u = m.u AND NOT x.ref))),
-o AS (SELECT *, row_number() OVER (PARTITION BY request_id, u ORDER BY distance, chunk_id) AS x FROM n)
-SELECT request_id, chunk_id, distance, row_number() OVER (PARTITION BY request_id ORDER BY distance, chunk_id) AS place FROM o WHERE x = 1""",
+    + """, a AS (SELECT *, [CAST(url AS VARCHAR), '/p/' || (chunk_id % 45)] AS keys, distance - round(chunk_id % 9 / 100.0::DOUBLE, 2) AS sorted FROM docs),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sorted, chunk_id) AS pos FROM a m WHERE NOT (ref AND EXISTS (SELECT 1 FROM a x WHERE x.request_id = m.request_id AND NOT x.ref AND list_has_any(x.keys, m.keys)))),
+f AS (SELECT DISTINCT request_id, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS docs, CAST([] AS VARCHAR[]) AS arts, CAST([] AS INTEGER[]) AS sources, false AS kept FROM o
+  UNION ALL SELECT o.request_id, o.pos, CASE WHEN took THEN list_append(f.docs, o.doc) ELSE f.docs END, CASE WHEN took THEN list_concat(f.arts, o.keys) ELSE f.arts END,
+    CASE WHEN took THEN list_append(f.sources, o.source_id) ELSE f.sources END, took
+  FROM f JOIN o ON o.request_id = f.request_id AND o.pos = f.pos + 1,
+    LATERAL (SELECT len(f.docs) < 7 AND NOT list_contains(f.docs, o.doc) AND NOT list_has_any(f.arts, o.keys) AND len(list_filter(f.sources, lambda s: s = o.source_id)) < 3 AS took) t)
+SELECT o.request_id, o.chunk_id, o.distance, row_number() OVER (PARTITION BY o.request_id ORDER BY o.pos) AS place FROM o JOIN f ON o.request_id = f.request_id AND o.pos = f.pos WHERE f.kept""",
+    "deduplicate_fold": _DOCS + _folded_sql("q", "docs", ["request_id"]) + " SELECT request_id, chunk_id, distance, place FROM q",
+    "plan_clauses": _PLANS + " SELECT request_id, clause, field, op, text, number FROM o WHERE clause < 8",
+    "metadata_clause_match": _PLANS
+    + """, x AS (SELECT load_no, trim(source_label, ' ') AS publisher, load_no % 9 AS protest_day, strftime(fetched_at, '%Y-%m-%d') AS event_date, content_type FROM source_document),
+q AS (SELECT request_id, clause, max(field) AS field, min(text) AS low, max(text) AS high, max(number) AS number FROM o WHERE clause < 8 GROUP BY ALL),
+m AS (SELECT request_id, clause, load_no FROM q, x WHERE CASE field WHEN 'publisher' THEN publisher >= low AND publisher < high WHEN 'protest_day' THEN protest_day = number WHEN 'event_date' THEN event_date = low
+  WHEN 'section' THEN content_type = low WHEN 'content_type' THEN content_type = low ELSE false END)
+SELECT request_id, clause, load_no FROM (SELECT *, row_number() OVER (PARTITION BY request_id, clause ORDER BY load_no) AS n FROM m) WHERE n <= 32""",
     "recency_bonus_rank": """SELECT * FROM (SELECT doc_id, round(CASE WHEN CAST(published_at AS DATE) <= DATE '2024-06-30' THEN 0.08::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - (DATE '2024-06-30' - CAST(published_at AS DATE)) / 30.0::DOUBLE) ELSE 0 END, 6) AS bonus FROM documents) WHERE bonus > 0""",
-    "anchors_override_pool": _DOCS
-    + """, an AS (SELECT * FROM docs WHERE source_id = 3),
-b AS (SELECT request_id, chunk_id, 0 AS p, distance FROM an UNION ALL SELECT request_id, chunk_id, 1, distance FROM docs d WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.request_id = d.request_id AND an.source_id = d.source_id AND an.item = d.item)),
-c AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p, distance, chunk_id) AS place FROM b) SELECT request_id, chunk_id, place FROM c WHERE place <= 20""",
-    "metadata_clause_match": """WITH m AS (SELECT 1 AS clause_id, load_no FROM source_document WHERE title >= 'Open' AND title < 'Open' || chr(63743)
-UNION ALL SELECT 2, load_no FROM source_document WHERE content_type = 'news' AND language = 'sq' UNION ALL SELECT 3, load_no FROM source_document WHERE content_type = 'map')
-SELECT clause_id, load_no FROM (SELECT *, row_number() OVER (PARTITION BY clause_id ORDER BY load_no) AS x FROM m) WHERE x <= 32""",
+    "anchors_override_pool": _FUSED
+    + """, near AS (SELECT q.vec_id // 100 AS request_id, c.label AS source_id, c.vec_id AS chunk_id, min(round(greatest(0, list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))), 6)) AS distance
+  FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.label = 3 AND c.vec_id % 6 < 4 AND NOT (c.vec_id % 4 = 0 AND c.vec_id % 8 <> 0) GROUP BY ALL)"""
+    + _described_sql("nd", "near")
+    + _folded_sql("an", "nd", ["request_id"])
+    + """, b AS (SELECT request_id, chunk_id, 0 AS p, place FROM an WHERE place <= 16
+  UNION ALL SELECT request_id, chunk_id, 1, place FROM pool d WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.place <= 16 AND an.request_id = d.request_id AND an.doc = d.doc)),
+w AS (SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY p, place) AS place FROM b) SELECT * FROM w WHERE place <= 20""",
     "reference_suppression": "SELECT doc_id FROM documents d WHERE text IS NOT NULL AND NOT (doc_id % 2 = 0 AND EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 1 AND x.text = d.text))",
     "citations_render": "SELECT load_no // 50 AS request_id, 'S' || (load_no % 50 + 1) AS citation, title, canonical_url AS url, source_label AS source FROM source_document",
     "evidence_blocks": """SELECT load_no // 50 AS request_id, sha256(string_agg('[S' || (load_no % 50 + 1) || ']' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'URL: ' || canonical_url || chr(10) || 'Status: ' || coalesce(legal_status, 'Not specified') || chr(10) || '<evidence>' || chr(10) || text || chr(10) || '</evidence>', chr(10) || chr(10) ORDER BY load_no)) AS h
