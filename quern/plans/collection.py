@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import collector, evaluation
@@ -112,9 +113,9 @@ def _answers(spark, base):
     i = F.col("item_id")
     return table(spark, base, "eval_item").select(
         i.alias("case_id"),
-        F.when(i % 9 == 0, F.lit(None)).when(i % 5 == 0, F.concat(F.lit("# Head\n"), "passage", F.lit(" [S1]"))).otherwise(F.concat("passage", F.lit(" [S"), (i % 4).cast("string"), F.lit("]"))).alias("answer"),
+        F.when(i % 9 == 0, F.lit(None)).when(i % 5 == 0, F.concat(F.lit("# Head\nE.G. nr. 5 "), "passage", F.lit(" [S1]"))).otherwise(F.concat("passage", F.lit(" [S"), (i % 4).cast("string"), F.lit("]"))).alias("answer"),
         F.slice(F.array(F.lit("S1"), F.lit("S2"), F.lit("S3")), F.lit(1), (i % 4).cast("int")).alias("citations"), F.array("suite").alias("sources"), "min_citations", F.lit(2).alias("max_citations"),
-        F.array(F.lit("smoke"), F.lit("questions")).alias("expected_any"), F.array_compact(F.array(F.when(i % 3 == 0, F.lit("smoke")))).alias("expected_all"), F.array(F.lit("GJYKATA")).alias("forbidden"), F.lit(8).alias("max_sentences"),
+        F.array(F.lit("smoke"), F.lit("questions")).alias("expected_any"), F.array_compact(F.array(F.when(i % 3 == 0, F.lit("smoke")))).alias("expected_all"), F.array(F.lit("GJYKATA")).alias("forbidden"), (i % 7 > 0).alias("expect_markers"), F.lit(8).alias("max_sentences"),
         (i % 11 > 0).alias("done"), (i % 13 == 0).alias("error"),
     )
 
@@ -141,25 +142,42 @@ def st11_complete_streams(spark, base):
 
 
 def so9_random_pick(spark, base):
-    return table(spark, base, "eval_item").orderBy(F.rand(7)).limit(2).select("item_id")
+    """Two of each language, by a hash of the id and a seed: the same whatever the partitions are."""
+    drawn = F.sha2(F.concat(F.lit("7:"), F.col("item_id").cast("string")), 256)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "item_id"))
+    return table(spark, base, "eval_item").withColumn("place", place).where("place <= 2").select("lang", "item_id")
+
+
+def ud8_conversation_replay(spark, base):
+    """Items as turns of conversations of six, with what each turn was asked."""
+    i = F.col("item_id") - 1
+    turns = _answers(spark, base).drop("error").join(evaluation.failures(_answers(spark, base)).withColumnRenamed("case_id", "id"), F.col("case_id") == F.col("id"))
+    asked = table(spark, base, "eval_item").select(F.floor(i / 6).alias("case_id"), (i % 6).cast("int").alias("turn"), F.coalesce("question", F.lit("?")).alias("question"), "item_id")
+    return evaluation.replayed_history(
+        asked.join(turns.select(F.col("case_id").alias("item_id"), "answer", "failures"), "item_id").drop("item_id"), 6, 900, 250
+    ).select("case_id", "turn", F.col("at").alias("said_at"), "role", F.sha2("text", 256).alias("h"))
+
+
+def sk13_report(spark, base):
+    return evaluation.report(evaluation.failures(_answers(spark, base))).select("passed", "cases", "failed", F.sha2("report", 256).alias("h"))
 
 
 QUERIES = {f.__name__: f for f in (
     sc17_main_text, sc16_link_discovery, sc18_head_fields, sc19_sitemap_entries, sc20_robots, ag11_max_lastmod, pf15_path_dates, jn10_fetch_plan, jn11_merge_counters, ag12_missing_months,
-    sf15_topic_rules, ag9_peak_summary, pf30_per_language, ag10_map_totals, sf31_eval_rules, ag17_suite_passed, sc23_event_streams, st11_complete_streams, so9_random_pick,
+    sf15_topic_rules, ag9_peak_summary, pf30_per_language, ag10_map_totals, sf31_eval_rules, ag17_suite_passed, sc23_event_streams, st11_complete_streams, so9_random_pick, ud8_conversation_replay, sk13_report,
 )}
 
 _PLAIN = "regexp_replace(text, '[^\\p{L}\\p{N} .,]', '', 'g')"
 _ROB = "WITH p AS (SELECT load_no, regexp_extract(canonical_url, '^https?://[^/]+(/.*)$', 1) AS p FROM source_document)"
-_EV = """a AS (SELECT item_id, suite, lang, min_citations, CASE WHEN item_id % 9 = 0 THEN '' WHEN item_id % 5 = 0 THEN '# Head' || chr(10) || passage || ' [S1]' ELSE passage || ' [S' || (item_id % 4) || ']' END AS t, (item_id % 4) AS k FROM eval_item),
+_EV = """a AS (SELECT item_id, suite, lang, min_citations, CASE WHEN item_id % 9 = 0 THEN '' WHEN item_id % 5 = 0 THEN '# Head' || chr(10) || 'E.G. nr. 5 ' || passage || ' [S1]' ELSE passage || ' [S' || (item_id % 4) || ']' END AS t, (item_id % 4) AS k FROM eval_item),
 b AS (SELECT *, trim(coalesce(t, '')) AS a FROM a),
 f AS (SELECT item_id AS case_id, suite, lang, array_to_string(list_filter([
   CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN item_id % 11 = 0 THEN 'missing_done_event' END, CASE WHEN item_id % 13 = 0 THEN 'stream_error' END, CASE WHEN k < min_citations THEN 'too_few_citations' END,
   CASE WHEN k > 2 THEN 'too_many_citations' END, CASE WHEN suite NOT IN ('smoke', 'questions') THEN 'expected_source_missing' END, CASE WHEN item_id % 3 = 0 AND suite <> 'smoke' THEN 'required_sources_missing' END,
-  CASE WHEN k > 0 AND NOT (contains(a, 'S1') OR (k > 1 AND contains(a, 'S2')) OR (k > 2 AND contains(a, 'S3'))) THEN 'citation_markers_missing' END, CASE WHEN contains(lower(a), 'gjykata') THEN 'forbidden_phrase_present' END,
-  CASE WHEN regexp_matches(a, '(?m)^#{1,6} |^\\||```|!\\[[^\\]]*\\]\\(|\\]\\(https?://|^-{3,}$') THEN 'unsupported_markdown' END,
+  CASE WHEN item_id % 7 > 0 AND k > 0 AND NOT (contains(a, 'S1') OR (k > 1 AND contains(a, 'S2')) OR (k > 2 AND contains(a, 'S3'))) THEN 'citation_markers_missing_from_answer' END, CASE WHEN contains(lower(a), 'gjykata') THEN 'forbidden_phrase_present' END,
+  CASE WHEN list_bool_or(list_transform(string_split(a, chr(10)), lambda l: regexp_matches(l, '^ {0,3}(#{1,6}( |$)|>( |$)|\\|.*\\| *$)') OR contains(l, '```') OR regexp_matches(l, '\\[[^\\]]+\\]\\('))) THEN 'unsupported_markdown_in_answer' END,
   CASE WHEN len(list_filter(regexp_extract_all(a, 'S\\d+\\]'), lambda m: NOT list_contains(['S1]', 'S2]', 'S3]'][:k], m))) > 0 THEN 'unknown_citation_marker' END,
-  CASE WHEN len(list_filter(string_split_regex(regexp_replace(regexp_replace(trim(regexp_replace(a, '\\[S\\d+\\]', '', 'g')), '\\b(nr|no|Nr|No|NR|NO)\\.(\\s*\\d)', '\\1\\2', 'g'), '\\b(p\\.sh|e\\.g|i\\.e)\\.', '', 'g'), '[.!?]+(\\s+|$)'), lambda s: trim(s) <> '')) > 8 THEN 'too_many_sentences' END
+  CASE WHEN len(list_filter(string_split_regex(regexp_replace(regexp_replace(trim(regexp_replace(a, '\\[S\\d+\\]', '', 'g')), '\\b([nN][rR]|[nN][oO])\\.(\\s*\\d)', '\\2', 'g'), '\\b([pP]\\.[sS][hH]|[eE]\\.[gG]|[iI]\\.[eE])\\.', '', 'g'), '[.!?]+(\\s+|$)'), lambda s: trim(s) <> '')) > 8 THEN 'too_many_sentences' END
   ], lambda x: x IS NOT NULL), ',') AS failures FROM b)"""
 
 SQL = {
@@ -189,6 +207,15 @@ SELECT event_type, count(*) AS days, count(value) AS measured, max(CASE WHEN hi
 SELECT item_id, 'sq' AS lang, sq AS note FROM e WHERE sq IS NOT NULL OR en IS NULL UNION ALL SELECT item_id, 'en', en FROM e WHERE en IS NOT NULL OR sq IS NULL""",
     "ag10_map_totals": "SELECT r_name, count(DISTINCT n_nationkey) AS places, count(c_custkey) AS people, round(sum(c_acctbal), 2) AS total FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
     "sf31_eval_rules": f"WITH {_EV} SELECT case_id, failures, failures = '' AS passed FROM f",
+    "so9_random_pick": "SELECT lang, item_id FROM (SELECT lang, item_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || item_id), item_id) AS n FROM eval_item) WHERE n <= 2",
+    "sk13_report": f"""WITH {_EV} SELECT count(*) = 0 AS passed, (SELECT count(*) FROM f) AS cases, count(*) AS failed,
+  sha256('{{"passed":' || (count(*) = 0) || ',"results":[' || string_agg('{{"id":' || case_id || ',"failures":["' || replace(failures, ',', '","') || '"]}}', ',' ORDER BY case_id) || ']}}') AS h FROM f WHERE failures <> ''""",
+    "ud8_conversation_replay": f"""WITH {_EV},
+q AS (SELECT (item_id - 1) // 6 AS case_id, (item_id - 1) % 6 AS turn, coalesce(question, '?')[:250] AS question, CASE WHEN NOT (list_contains(string_split(failures, ','), 'stream_error') OR list_contains(string_split(failures, ','), 'missing_done_event')) THEN nullif(t, '')[:250] END AS answer
+  FROM b JOIN f ON f.case_id = b.item_id JOIN eval_item USING (item_id)),
+s AS (SELECT case_id, turn AS said, 0 AS part, 'user' AS role, question AS x FROM q UNION ALL SELECT case_id, turn, 1, 'assistant', answer FROM q WHERE answer IS NOT NULL),
+p AS (SELECT q.case_id, q.turn, s.said, s.role, s.x, sum(length(s.x)) OVER w AS n, row_number() OVER w AS r FROM q JOIN s ON s.case_id = q.case_id AND s.said < q.turn WINDOW w AS (PARTITION BY q.case_id, q.turn ORDER BY s.said DESC, s.part DESC ROWS UNBOUNDED PRECEDING))
+SELECT case_id, CAST(turn AS INTEGER) AS turn, CAST(said AS INTEGER) AS said_at, role, sha256(x) AS h FROM p WHERE n <= 900 AND r <= 6""",
     "ag17_suite_passed": f"WITH {_EV} SELECT suite, lang, bool_and(failures = '') AS all_passed, count(*) FILTER (failures = '') AS n FROM f GROUP BY ALL",
     "sc23_event_streams": "SELECT event_id // 10 AS stream, row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) - 1 AS seq, CASE WHEN event_id % 10 = 9 THEN 'done' WHEN event_id % 70 = 3 THEN 'error' ELSE 'delta' END AS name, props AS data FROM events",
     "st11_complete_streams": "SELECT event_id // 10 AS stream, bool_or(event_id % 10 <> 9 AND event_id % 70 <> 3) AND bool_or(event_id % 10 = 9) AND NOT bool_or(event_id % 10 <> 9 AND event_id % 70 = 3) AS complete FROM events GROUP BY 1",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.text import NORMALIZE, STRIP, rewritten_sql
 from quern.operators import records
+from quern.plans.scalars import _BLANKS, _normal_sql
 from quern.sources.tables import table
 
 KINDS = [(r"/(pdf|map)/", "file"), (r"/news/", "news"), (r"example/[^/]+/0+[13579]", "odd")]
@@ -90,7 +90,7 @@ QUERIES = {f.__name__: f for f in (
     pf22_allowed_origins, pf21_request_bounds, ag5_reuse_counters,
 )}
 
-_TRIM = lambda c: f"nullif({rewritten_sql(c, STRIP)}, '')"
+_TRIM = lambda c: f"nullif(trim({c}, {_BLANKS}), '')"
 _JSON = " || ', ' || ".join(f"'\"{k}\": ' || coalesce(CAST(to_json({k}) AS VARCHAR), 'null')" for k in ("document_id", "language", "legal_status", "revision", "source_id"))
 
 SQL = {
@@ -101,7 +101,7 @@ SQL = {
     "sc9_closed_keys": "SELECT generation_id, array_to_string(list_sort(list_filter(coalesce(json_keys(validation_results), []), lambda k: k <> 'count')), ',') AS unknown FROM generation_manifest",
     "pf33_sticky_context": "SELECT load_no, concat_ws(chr(10), 'Source: ' || source_label, 'Title: ' || title, legal_status) AS sticky FROM source_document",
     "pf28_document": f"""SELECT load_no, sha256(concat_ws(chr(0), source_id, relative_path, ''))[:32] AS document_id,
-  coalesce(CASE WHEN load_no % 4 > 0 THEN {_TRIM('title')} END, regexp_replace(regexp_extract(relative_path, '([^/]+)$', 1), '\\.[^.]*$', '')) AS title, sha256({rewritten_sql('text', NORMALIZE)}) AS h FROM source_document""",
+  coalesce(CASE WHEN load_no % 4 > 0 THEN {_TRIM('title')} END, regexp_replace(regexp_extract(relative_path, '([^/]+)$', 1), '\\.[^.]*$', '')) AS title, sha256({_normal_sql("text")}) AS h FROM source_document""",
     "sf25_record_revision": f"SELECT load_no, sha256('{{' || {_JSON} || '}}') AS revision_hash FROM source_document",
     "sf28_rank_prompt": "SELECT load_no // 20 AS request_id, count(*) AS n, 'C' || min(load_no % 20 + 1) AS first FROM source_document GROUP BY 1",
     "wn12_batches": "WITH c AS (SELECT DISTINCT source_id, chunk_id FROM chunk_record), r AS (SELECT *, (row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) - 1) // 16 AS batch FROM c) SELECT source_id, batch, count(*) AS n, min(chunk_id) AS first FROM r GROUP BY ALL",

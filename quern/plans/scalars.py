@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import dates, text, urls
-from quern.functions.text import COLLAPSE, ENTITIES, MARKERS, NORMALIZE, PARAGRAPH_BREAK, PLAIN, SENTENCE_BREAK, STRIP, TIDY_PAGE, WS, rewritten, rewritten_sql
+from quern.functions.text import MARKERS, PLAIN, TIDY_PAGE, rewritten
 from quern.sources.tables import table
 
 
@@ -13,12 +13,6 @@ def _docs(spark, base):
     return table(spark, base, "documents")
 
 
-def _unescape_sql(expr: str) -> str:
-    for a, b in ENTITIES:
-        expr = f"replace({expr}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return expr
-
-
 def sf1_normalize_text_hash(spark, base):
     clean = text.normalized(F.col("text"))
     return _docs(spark, base).select("doc_id", F.length(clean).cast("bigint").alias("n"), F.sha2(clean, 256).alias("content_hash"), text.stable_id(F.col("source"), F.col("doc_id").cast("string"), F.lit("")).alias("document_id"))
@@ -33,13 +27,13 @@ def ag14_token_estimate(spark, base):
 
 
 def sf12_sentence_stats(spark, base):
-    s = text.sentences(F.col("text"))
-    return _docs(spark, base).select("doc_id", F.size(s).cast("bigint").alias("n"), F.array_max(F.transform(s, F.length)).cast("bigint").alias("longest")).where(F.col("n") >= 0)
+    sizes = _docs(spark, base).where("text is not null").select("doc_id", F.transform(text.sentences(F.col("text")), F.length).alias("s"))
+    return sizes.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_max("s").cast("bigint").alias("longest"))
 
 
 def sf13_paragraph_stats(spark, base):
-    p = text.paragraphs(F.col("text"))
-    return _docs(spark, base).select("doc_id", F.size(p).cast("bigint").alias("n"), F.array_max(F.transform(p, F.octet_length)).cast("bigint").alias("longest")).where(F.col("n") >= 0)
+    sizes = _docs(spark, base).where("text is not null").select("doc_id", F.transform(text.paragraphs(F.col("text")), F.octet_length).alias("s"))
+    return sizes.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_max("s").cast("bigint").alias("longest"))
 
 
 def sf10_strip_markdown(spark, base):
@@ -59,6 +53,12 @@ def sf11_strip_markers(spark, base):
     return table(spark, base, "eval_item").select("item_id", rewritten(cited, MARKERS).alias("plain"))
 
 
+def sf32_sf18_genre_text(spark, base):
+    """A document's genre by its type, and its title and text as one searchable text without what is empty."""
+    genre = F.when(F.lower("content_type").isin("question-answer", "transcript"), "opinion").otherwise("reporting")
+    return _docs(spark, base).select("doc_id", genre.alias("genre"), F.sha2(text.joined_text(F.col("title"), F.col("text")), 256).alias("h"))
+
+
 def sf14_excerpt(spark, base):
     return _docs(spark, base).select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
@@ -115,34 +115,65 @@ def pf23_client_address(spark, base):
 
 
 QUERIES = {f.__name__: f for f in (
-    sf1_normalize_text_hash, sf2_tidy_page_text, ag14_token_estimate, sf12_sentence_stats, sf13_paragraph_stats, sf10_strip_markdown, sf9_clean_markup, sf8_fold_text,
+    sf1_normalize_text_hash, sf2_tidy_page_text, ag14_token_estimate, sf12_sentence_stats, sf13_paragraph_stats, sf10_strip_markdown, sf9_clean_markup, sf8_fold_text, sf32_sf18_genre_text,
     sf11_strip_markers, sf14_excerpt, sf21_title_from_text, sf22_source_urls, pf19_url_one_form, sf16_article_key, sf20_spelled_date, sf23_instant, sf24_client_key,
     sf26_language_of_question, sf27_hash_embedding, pf8_prefix_range, pf23_client_address,
 )}
 
-_N = rewritten_sql("text", NORMALIZE)
-_S = f"list_filter(list_transform(string_split({rewritten_sql('text', [(SENTENCE_BREAK, '$1' + chr(1) + '$2')])}, chr(1)), lambda s: {rewritten_sql('s', STRIP)}), lambda s: s <> '')"
-_P = f"list_filter(list_transform(string_split_regex(text, '{PARAGRAPH_BREAK}'), lambda s: {rewritten_sql('s', STRIP)}), lambda s: s <> '')"
-_LINES = rf"string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]')"
-_FIT = f"list_filter(list_transform({_LINES}, lambda s: {rewritten_sql('s', [*STRIP, ('^#+', ''), *STRIP])}), lambda s: length(s) BETWEEN 3 AND 140)"
+# The SQL is written from what the operations are defined to do, line by line, and shares no pattern with the operators.
+_BLANKS = " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_BREAKS = r"[\r\n\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+_W = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _lines_sql(expr: str, trim: str) -> str:
+    """Lines of a text with blanks and tabs run together and trimmed, and empty lines but for one, as one text."""
+    lines = f"list_transform(string_split_regex({expr}, '{_BREAKS}'), lambda x: {trim}(regexp_replace(x, '[ \t]+', ' ', 'g'), {_BLANKS}))"
+    return f"trim(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANKS})"
+
+
+def _normal_sql(expr: str) -> str:
+    return _lines_sql(f"replace(replace({expr}, chr(13) || chr(10), chr(10)), chr(65279), '')", "rtrim")
+
+
+def _words_sql(expr: str) -> str:
+    return f"array_to_string(list_filter(string_split_regex({expr}, '{_W}+'), lambda x: x <> ''), ' ')"
+
+
+def _without(expr: str, *patterns: tuple[str, str]) -> str:
+    for pattern, instead in patterns:
+        expr = f"regexp_replace({expr}, '{pattern}', '{instead}', 'g')"
+    return expr
+
+
+_AMP = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_N = _normal_sql("text")
+_S = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_W}+([A-ZÇË0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s, {_BLANKS})), lambda s: s <> '')"
+_P = f"list_filter(list_transform(string_split_regex(text, '\n{_W}*\n'), lambda s: trim(s, {_BLANKS})), lambda s: s <> '')"
+_FIT = f"list_filter(list_transform(string_split_regex(replace(text, chr(13) || chr(10), chr(10)), '{_BREAKS}'), lambda s: trim(ltrim(trim(s, {_BLANKS}), '#'), {_BLANKS})), lambda s: length(s) BETWEEN 3 AND 140)"
+_BARE = _without(
+    "text", (r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\]\((https?://[^)]+)\)", r"\1 (\2)"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), ("[*_~]{1,3}", ""), (r"(?m)^\s*>\s?", ""),
+    ("(?s)```.*?```", ""), (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""), ("(?s)<!--.*?-->", ""), ("<[^>]+>", " "),
+)
 _MONTH = lambda names: "list_extract([" + ", ".join(f"'{n}'" for n in names) + "], month(published_at))"
 _SPELL = lambda names: f"day(published_at) || ' ' || {_MONTH(names)} || ' ' || year(published_at)"
 _PATH = r"regexp_extract(u, '^https?://[^/]*(/[^?#]*)', 1)"
-_COMMON = "['çfarë', 'është', 'për', 'dhe', 'nga', 'diaspora']"
+_COMMON = "['diaspora', 'shqipëri', 'revolucioni', 'nga', 'dhe', 'për', 'është', 'çfarë']"
 
 SQL = {
     "sf1_normalize_text_hash": f"SELECT doc_id, length({_N}) AS n, sha256({_N}) AS content_hash, sha256(concat_ws(chr(0), source, CAST(doc_id AS VARCHAR), ''))[:32] AS document_id FROM documents",
-    "sf2_tidy_page_text": f"SELECT doc_id, sha256({rewritten_sql('text', TIDY_PAGE)}) AS h FROM documents",
+    "sf2_tidy_page_text": f"SELECT doc_id, sha256({_lines_sql("replace(text, chr(13) || chr(10), chr(10))", "trim")}) AS h FROM documents",
     "ag14_token_estimate": "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 WHEN text IS NOT NULL THEN greatest(1, ceil(strlen(text) / 3.4::DOUBLE)) END AS BIGINT) AS tokens FROM documents",
     "sf12_sentence_stats": f"SELECT doc_id, len({_S}) AS n, list_max(list_transform({_S}, lambda s: length(s))) AS longest FROM documents WHERE text IS NOT NULL",
     "sf13_paragraph_stats": f"SELECT doc_id, len({_P}) AS n, list_max(list_transform({_P}, lambda s: strlen(s))) AS longest FROM documents WHERE text IS NOT NULL",
-    "sf10_strip_markdown": f"SELECT doc_id, sha256({rewritten_sql(_unescape_sql(rewritten_sql('text', PLAIN)), NORMALIZE)}) AS h FROM documents",
-    "sf9_clean_markup": f"SELECT doc_id, sha256({rewritten_sql(_unescape_sql('text'), [('<[^>]*>', ' '), *COLLAPSE])}) AS h FROM documents",
-    "sf8_fold_text": f"SELECT item_id, sha256({rewritten_sql('strip_accents(lower(passage))', COLLAPSE)}) AS h FROM eval_item",
-    "sf11_strip_markers": "SELECT item_id, " + rewritten_sql("question || ' [S1] [S22]  fund'", MARKERS) + " AS plain FROM eval_item",
+    "sf10_strip_markdown": f"SELECT doc_id, sha256({_normal_sql(_AMP.format(_BARE))}) AS h FROM documents",
+    "sf9_clean_markup": f"SELECT doc_id, sha256({_words_sql(_without(_AMP.format('text'), ('<[^>]*>', ' ')))}) AS h FROM documents",
+    "sf8_fold_text": f"SELECT item_id, sha256({_words_sql('strip_accents(lower(passage))')}) AS h FROM eval_item",
+    "sf11_strip_markers": f"SELECT item_id, {_words_sql('question')} || ' fund' AS plain FROM eval_item",
+    "sf32_sf18_genre_text": "SELECT doc_id, CASE WHEN lower(content_type) IN ('question-answer', 'transcript') THEN 'opinion' ELSE 'reporting' END AS genre, sha256(concat_ws(chr(10) || chr(10), nullif(trim(title, ' '), ''), nullif(text, ''))) AS h FROM documents",
     "sf14_excerpt": "SELECT doc_id, CASE WHEN length(text) <= 280 THEN text ELSE regexp_replace(text[:279], ' [^ ]*$', '') || '…' END AS excerpt FROM documents",
     "sf21_title_from_text": f"SELECT doc_id, coalesce({_FIT}[1], array_to_string(list_transform(string_split(translate(source, '-_', '  '), ' '), lambda w: upper(w[:1]) || lower(w[2:])), ' ')) AS title FROM documents WHERE text IS NOT NULL",
-    "sf22_source_urls": f"""WITH s AS (SELECT rec_no, list_transform(string_split_regex(burimet, '[\\n,;]+'), lambda x: {rewritten_sql('x', STRIP)}) AS l FROM dosje),
+    "sf22_source_urls": f"""WITH s AS (SELECT rec_no, list_transform(string_split_regex(burimet, '[\\n,;]+'), lambda x: trim(x, {_BLANKS})) AS l FROM dosje),
         f AS (SELECT rec_no, list_filter(l, lambda x, i: regexp_matches(x, '^(?i:https?)://[^/?#\\s]+') AND list_position(l, x) = i) AS l FROM s)
         SELECT rec_no, CAST(i - 1 AS BIGINT) AS p, l[i] AS url FROM f, unnest(range(1, len(l) + 1)) AS r(i)""",
     "pf19_url_one_form": r"""SELECT load_no, 'https://' || regexp_replace(regexp_extract(canonical_url, '^https://([^/?#]*)', 1), '^www\.', '') || coalesce(nullif(regexp_replace(regexp_extract(canonical_url, '^https://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') AS url FROM source_document""",
@@ -151,8 +182,8 @@ SQL = {
     "sf20_spelled_date": f"SELECT doc_id, strftime(published_at, '%Y-%m-%d') || ' (' || {_SPELL(dates.ALBANIAN_MONTHS)} || ' / ' || {_SPELL(dates.ENGLISH_MONTHS)} || ')' AS spelled, coalesce(regexp_replace(format('{{:.2f}}', n_chars / 8), '\\.?0+$', ''), 'not published') AS figure FROM documents",
     "sf23_instant": "SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN epoch(published_at) WHEN 1 THEN epoch(published_at) - 7200 END AS BIGINT) AS epoch FROM documents",
     "sf24_client_key": "SELECT event_id, sha256('salt:' || sha256(CAST(user_id AS VARCHAR)))[:16] AS client FROM events",
-    "sf26_language_of_question": f"SELECT item_id, regexp_matches(lower(question), '[çë]') OR list_has_any(list_transform(string_split_regex(question, '{WS}+'), lambda w: lower(trim(w, '.,!?;:()[]\"'''))), {_COMMON}) AS albanian FROM eval_item WHERE question IS NOT NULL",
-    "sf27_hash_embedding": f"""WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(passage), '{WS}+'), lambda x: x <> '') AS l FROM eval_item WHERE passage IS NOT NULL),
+    "sf26_language_of_question": f"SELECT item_id, regexp_matches(lower(question), '[çë]') OR list_has_any(list_transform(string_split_regex(question, '{_W}+'), lambda w: lower(trim(w, '.,!?;:()[]\"'''))), {_COMMON}) AS albanian FROM eval_item WHERE question IS NOT NULL",
+    "sf27_hash_embedding": f"""WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(passage), '{_W}+'), lambda x: x <> '') AS l FROM eval_item WHERE passage IS NOT NULL),
         b AS (SELECT item_id, list_transform(l, lambda x: CAST('0x' || sha256(x)[:2] AS INTEGER) % 8) AS l FROM w),
         c AS (SELECT item_id, p, CAST(len(list_filter(l, lambda x: x = p)) AS DOUBLE) AS n FROM b, range(8) AS r(p))
         SELECT item_id, p, round(CASE WHEN sum(n * n) OVER (PARTITION BY item_id) > 0 THEN n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) ELSE 0 END, 6) AS v FROM c""",

@@ -62,7 +62,7 @@ def test_history_fold(spark):
 def test_retrieval_folds(spark):
     random.seed(2)
     rows = [(r, i, random.choice("ab"), random.choice(["", "r1", "r2", None]), f"t{random.randint(0, 9)}", f"u{random.randint(0, 6)}", random.random() < 0.5, random.random() < 0.3, round(random.random(), 2)) for r in range(12) for i in range(25)]
-    df = spark.createDataFrame(rows, "request_id int, chunk_id int, source_id string, record_id string, title string, url string, is_article boolean, is_reference boolean, distance double")
+    df = spark.createDataFrame(rows, "request_id int, chunk_id int, source_id string, record_id string, title string, url string, is_article boolean, is_reference boolean, distance double").withColumn("is_keyed", F.lit(False))
     want = {}
     for r in range(12):
         own = [x for x in rows if x[0] == r]
@@ -79,9 +79,7 @@ def test_retrieval_folds(spark):
     for x in retrieval.deduplicated(df).orderBy("request_id", "place").collect():
         got.setdefault(x["request_id"], []).append(x["chunk_id"])
     assert got == want
-    with pytest.raises(Exception):
-        retrieval.deduplicated(df, most=5).collect()
-    some = retrieval.diversified(df, 4, 2).collect()
+    some = retrieval.diversified(df.withColumns({"articles": F.array("url"), "bonus": F.lit(None).cast("double")}), 4, 2).collect()
     assert max(x["place"] for x in some) == 4 and retrieval.deduplicated(df.limit(0)).count() == 0
 
 
