@@ -51,9 +51,9 @@ def packed_values(col: Column) -> Column:
     def state(done: Column, opened: Column, cur: Column, before: Column) -> Column:
         return F.struct(done.alias("done"), opened.alias("open"), cur.alias("cur"), before.alias("before"))
 
-    def step(s: Column, piece: Column) -> Column:
+    def step(s: Column, both: Column) -> Column:
         done, opened, cur, before = (s[k] for k in ("done", "open", "cur", "before"))
-        values = _plain_values(piece)
+        piece, values = both["piece"], both["values"]
         # before is '"' when the piece before this one closed a "…" literal.
         return (
             F.when((opened == "") & (piece == '"') & (before == '"'), state(done, F.lit('"'), F.concat(cur, F.lit('"')), F.lit("")))
@@ -72,7 +72,9 @@ def packed_values(col: Column) -> Column:
             )
         )
 
-    folded = F.aggregate(F.filter(pieces, lambda p: p != ""), start, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
+    # Every piece is split once, before the fold, which looks at the values several times.
+    split = F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(p.alias("piece"), _plain_values(p).alias("values")))
+    folded = F.aggregate(split, start, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
     values = F.filter(F.transform(folded, _trimmed), lambda v: v != "")
     return F.when(F.lower(_trimmed(col)).isin(*_EMPTY_FIELDS), no_strings).otherwise(values)
 

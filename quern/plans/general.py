@@ -49,6 +49,27 @@ changes AS (
 
 QUERIES = {"p4_found": p4_found, "p4_removed_counts": p4_removed_counts, "p5_found": p5_found}
 
+def _p5_sql() -> str:
+    """Fields cut into literals and the rest; delimiters inside literals and addresses stand as private characters while the
+    field is split. An address is extended over one comma or semicolon at a time."""
+    inside, outside = ",;|" + "\t\r\n\x0b\x0c\x85\u2028\u2029", "".join(map(chr, range(0xE000, 0xE00B)))
+    codes = lambda t: " || ".join(f"chr({ord(c)})" for c in t)
+    hide, show = (lambda e: f"translate({e}, {codes(inside)}, {codes(outside)})"), (lambda e: f"translate({e}, {codes(outside)}, {codes(inside)})")
+    body = "regexp_replace(s, '([,;])((?i:https?)://)', '\\1 \\2', 'g')"
+    for _ in range(8):
+        body = f"regexp_replace(regexp_replace({body}, '((?i:https?)://[^\\s,;|]*),([\\p{{L}}\\p{{N}}])', '\\1' || chr(57344) || '\\2', 'g'), '((?i:https?)://[^\\s,;|]*);([\\p{{L}}\\p{{N}}])', '\\1' || chr(57345) || '\\2', 'g')"
+    blanks = " || ".join(f"chr({c})" for c in (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+    literal = hide("""replace(regexp_replace(regexp_replace(s, '^"', ''), '"$', ''), '""', '"')""")
+    curly = hide("regexp_replace(regexp_replace(s, '^“', ''), '”$', '')")
+    return f"""WITH f AS (SELECT 'dosje' AS table_name, rec_no, burimet AS x FROM dosje UNION ALL SELECT 'lidhje', rec_no, burimi FROM lidhje),
+s AS (SELECT table_name, rec_no, array_to_string(list_transform(regexp_extract_all(x, '"(?:[^"]|"")*"?|“[^”]*”?|[^"“]+'), lambda s: CASE WHEN s[1] = '"' THEN {literal} WHEN s[1] = '“' THEN {curly} ELSE {body} END), '') AS x
+  FROM f WHERE x IS NOT NULL AND lower(trim(x, {blanks})) NOT IN ('', '-', 'n/a')),
+v AS (SELECT table_name, rec_no, list_filter(list_transform(string_split_regex(x, '[,;|\\t\\r\\n\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda i: trim({show("i")}, {blanks})), lambda i: i <> '') AS l FROM s)
+SELECT table_name, rec_no, CAST(p AS INTEGER) AS item_pos, l[p] AS item_value FROM v, unnest(range(1, len(l) + 1)) AS r(p)"""
+
+
+_P5 = _p5_sql()
+
 SQL = {
     "p4_found": _P4 + "SELECT generation_id, chunk_id, change FROM changes",
     "p4_removed_counts": _P4
@@ -57,4 +78,5 @@ SQL = {
       CASE WHEN m.status IN ('active', 'superseded') THEN CAST(coalesce(n.n, 0) AS BIGINT) END AS derived_removed
     FROM generation_manifest m LEFT JOIN n ON n.generation_id = m.generation_id)
     SELECT generation_id, stated_removed, derived_removed, stated_removed IS NOT DISTINCT FROM derived_removed AS agrees FROM o""",
+    "p5_found": _P5,
 }
