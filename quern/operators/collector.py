@@ -16,6 +16,49 @@ def path_date(url: Column) -> Column:
     return F.try_to_date(F.regexp_extract(url, r"^https?://[^/]+/(\d{4}/\d{2}/\d{2})/", 1), "yyyy/MM/dd")
 
 
+def candidates(entries: DataFrame, pattern: str, start: Column) -> DataFrame:
+    """(url, lastmod, outcome) of sitemap entries, an address once with its latest modification: ``before_start`` where the
+    date in its path lies before the start, ``unrelated`` where its decoded path does not fit the pattern, else
+    ``candidate``. Nothing is a candidate but what fits."""
+    path = F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1)
+    fits = F.coalesce(F.try_url_decode(path), path).rlike(f"(?i){pattern}")
+    outcome = F.when(path_date(F.col("url")) < start, "before_start").when(fits, "candidate").otherwise("unrelated")
+    return latest_modified(entries).withColumn("outcome", outcome)
+
+
+def newest_first(rows: DataFrame, now: Column) -> DataFrame:
+    """Candidates in the order in which they are fetched: latest modification first, unknown ones as if now, then by address
+    downwards. A sort by ranges, no task sees all rows."""
+    return rows.orderBy(F.coalesce("lastmod", now).desc(), F.col("url").desc())
+
+
+def preview(rows: DataFrame, score: str, key: str, most: int = 10) -> DataFrame:
+    """The rows of the highest scores, then least keys: each task passes on no more than ``most``."""
+    return rows.orderBy(F.desc(score), key).limit(most)
+
+
+def published_between(rows: DataFrame, start: Column, captured: Column, at: str = "published_at") -> DataFrame:
+    """Rows published from the start up to when they were captured; null and later ones fall out."""
+    return rows.where(F.col(at).between(start, captured))
+
+
+def needs_replay(saved_version: Column, version: Column) -> Column:
+    """Whether everything is looked at again: the version of the rules that the saved state names is another, or none."""
+    return ~saved_version.eqNullSafe(version)
+
+
+def requalified(stored: DataFrame, text: Column, rules: list[tuple[str, str]]) -> DataFrame:
+    """Stored rows under the current rules: (score, topics) anew and outcome ``kept``, or ``removed_unrelated`` for those that
+    no longer qualify. Rows with null text do not."""
+    score, found = topics(F.coalesce(text, F.lit("")), rules)
+    return stored.drop("score", "topics").withColumns({"score": score, "topics": found}).withColumn("outcome", F.when(F.col("score") > 0, "kept").otherwise("removed_unrelated"))
+
+
+def outcome_counts(rows: DataFrame, outcomes: list[str], outcome: str = "outcome") -> DataFrame:
+    """One row with a column for each of the stated outcomes; other outcomes are not counted."""
+    return rows.agg(*(F.count_if(F.col(outcome) == o).alias(o) for o in outcomes))
+
+
 def scan_start(start: Column, last_scan: Column, overlap_hours: int, replay: Column) -> Column:
     """From when entries are looked at again: an overlap before the last scan, or the very start."""
     return F.when(last_scan.isNull() | replay, start).otherwise(F.greatest(start, last_scan - F.expr(f"INTERVAL {int(overlap_hours)} HOURS")))

@@ -65,8 +65,20 @@ def accepted_and_issues(documents: DataFrame, least: int = 40) -> DataFrame:
 
 
 def first_of(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, order): the first row's order of each group, a representative."""
-    return rows.groupBy(group).agg(F.min(order).alias(order))
+    """The whole first row of each group in ``order``, its representative; combined before the shuffle."""
+    others = [c for c in rows.columns if c != group]
+    return rows.groupBy(group).agg(F.min_by(F.struct(*others), order).alias("__row")).select(group, "__row.*")
+
+
+def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys that stand more than once; null keys are no keys."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def changed_revisions(before: DataFrame, after: DataFrame, key: str, revision: str) -> DataFrame:
+    """(key, before, after): what has another revision than before, or is on one side only; none where a source stood still."""
+    b, a = before.select(key, F.col(revision).alias("before")), after.select(key, F.col(revision).alias("after"))
+    return b.join(a, key, "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def supports_reuse(manifests: DataFrame, contract: dict[str, object]) -> Column:

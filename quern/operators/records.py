@@ -53,10 +53,64 @@ def revision(fields: dict[str, Column]) -> Column:
     return F.sha2(json_text(fields), 256)
 
 
-def rank_prompt(passages: DataFrame, most_chars: int = 1800) -> DataFrame:
-    """(request_id, passages): a request's candidates as JSON, labelled C1, C2, … with the beginning of their texts."""
-    item = F.struct(F.col("place"), F.struct(F.concat(F.lit("C"), F.col("place").cast("string")).alias("id"), "title", "url", F.substring("text", 1, most_chars).alias("text")).alias("p"))
-    return passages.groupBy("request_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"])).alias("passages"))
+#: What a candidate's metadata tells the ranker (fixed values).
+RANK_METADATA = ("event_date", "research_date", "reported_event_date", "content_use", "source_kind", "evidence_access")
+
+
+def rank_prompt(passages: DataFrame, requests: DataFrame, most_chars: int = 1800) -> DataFrame:
+    """(request_id, prompt): a request's question, history and interpretation with its candidates as JSON, labelled C1, C2, …
+    with the beginning of their texts and what their metadata tells; absent values are null.
+
+    ``passages``: (request_id, place, title, source, url, text, metadata), metadata being a map; ``requests``: (request_id,
+    question, history, interpretation, as_of, recent), history being an array of (role, text)."""
+    told = F.struct(*(F.try_element_at("metadata", F.lit(k)).alias(k) for k in RANK_METADATA))
+    item = F.struct(F.concat(F.lit("C"), F.col("place").cast("string")).alias("id"), "title", "source", "url", F.substring("text", 1, most_chars).alias("text"), told.alias("metadata"))
+    packed = passages.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", item.alias("p")))), lambda x: x["p"]).alias("passages"))
+    whole = F.struct("question", "history", "interpretation", F.struct(F.col("as_of").cast("string").alias("as_of"), "recent").alias("scope_hint_only"), "passages")
+    return requests.join(packed, "request_id").select("request_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("prompt"))
+
+
+# How much a passage may be used, as the answer's prompt states it.
+REFERENCE_ONLY = (
+    "Reference-only use: publisher headline and short introduction only. Identify/cite the article or show a short supplied excerpt; "
+    "do not summarize its full text or infer incident dates from publication dates."
+)
+
+
+def grounded_prompt(passages: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, prompt): the conversation so far where there is one, the question, and the passages as numbered blocks.
+
+    ``passages``: (request_id, place, title, publisher, url, status, access, is_reference, text); ``requests``: (request_id,
+    question, transcript). A request without passages has an empty list of blocks."""
+    access = F.concat(F.lit("Research page-access record: "), F.col("access"), F.lit(". This describes the author's research; the original page was not re-fetched during ingestion."))
+    note = F.when(F.col("is_reference"), REFERENCE_ONLY).when(F.coalesce("access", F.lit("")) != "", access).otherwise("")
+    lines = [F.concat(F.lit("[S"), F.col("place").cast("string"), F.lit("]"))]
+    lines += [F.concat(F.lit(label), F.coalesce(value, F.lit(absent))) for label, value, absent in (("Title: ", F.col("title"), ""), ("Publisher: ", F.col("publisher"), ""), ("URL: ", F.col("url"), ""), ("Legal or institutional status: ", F.nullif("status", F.lit("")), "Not specified"))]
+    block = F.concat_ws("\n", *lines, note, F.lit("<evidence>"), F.coalesce("text", F.lit("")), F.lit("</evidence>"))
+    blocks_of = passages.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("__blocks"))
+    history = F.when(F.coalesce("transcript", F.lit("")) != "", F.concat(F.lit("Recent conversation (unverified context, never evidence):\n<conversation>\n"), F.col("transcript"), F.lit("\n</conversation>")))
+    prompt = F.concat_ws("\n\n", history, F.concat(F.lit("Visitor question:\n"), F.col("question")), F.concat(F.lit("Evidence blocks:\n\n"), F.coalesce("__blocks", F.lit(""))))
+    return requests.join(blocks_of, "request_id", "left").select("request_id", prompt.alias("prompt"))
+
+
+def refusal(status: Column, body: Column) -> Column:
+    """Why a request was refused, by its status and what its JSON body, if it is any, details."""
+    detail = F.try_variant_get(F.try_parse_json(body), "$.detail", "string")
+    quota = F.when(detail.isin("client_quota_exhausted", "daily_quota_exhausted"), detail)
+    return F.when(status == 503, "unavailable").when(status == 429, F.coalesce(quota, F.lit("too_many_requests"))).otherwise("request_failed")
+
+
+def in_order(answers: DataFrame, group: str, index: str, value: str, size: str) -> DataFrame:
+    """(group, values): the answers of a batch by their index; one that is missing, repeated or beyond ``size`` is an error."""
+    packed = answers.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("p"), F.max(size).alias("n"))
+    whole = F.transform("p", lambda x: x["i"].cast("int")) == F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    values = F.transform("p", lambda x: x["v"])
+    return packed.select(group, F.when(whole, values).otherwise(F.raise_error(F.lit("the answers of a batch are not whole")).cast(f"array<{answers.schema[value].dataType.simpleString()}>")).alias("values"))
+
+
+def same_set(one: Column, two: Column) -> Column:
+    """Whether two arrays hold the same values, whatever their order and repeats; null equals only null."""
+    return F.array_sort(F.array_distinct(one)).eqNullSafe(F.array_sort(F.array_distinct(two)))
 
 
 def blocks(text: Column) -> Column:

@@ -64,7 +64,7 @@ def pf17_outcomes(spark, base):
 
 
 def ag16_representative(spark, base):
-    return ingest.first_of(table(spark, base, "chunk_record"), "source_id", "chunk_id")
+    return ingest.first_of(table(spark, base, "chunk_record").select("source_id", "chunk_id"), "source_id", "chunk_id")
 
 
 def jn1_nested_relations(spark, base):
