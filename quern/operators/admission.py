@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.dates import seconds_until_reset
-from quern.sources.tables import broadcast_if_bounded
+from quern.sources.tables import broadcast_if_bounded, pandas_mapped
 
 
 def coupled_windows(requests: DataFrame, limit: int, daily_limit: int, window: int = 3600, day: int = 86400) -> DataFrame:
@@ -33,30 +37,43 @@ def coupled_windows(requests: DataFrame, limit: int, daily_limit: int, window: i
     return both.withColumn("__before", before).select("event_id", F.col("__ok").alias("allowed"), scope.alias("scope"), wait.cast("bigint").alias("retry_after"))
 
 
-def admitted_log(times: Column, most: int, window: int) -> Column:
-    """For each of a client's times in order, whether it is admitted: fewer than ``most`` admitted ones lie in the window
-    before it. Refused ones do not count, which a frame of a window cannot say; the state is the log still in the window."""
-    start = F.struct(F.array().cast("array<boolean>").alias("out"), F.array().cast("array<bigint>").alias("log"))
-
-    def step(s: Column, t: Column) -> Column:
-        live = F.filter(s["log"], lambda x: x > t - window)
-        ok = F.size(live) < most
-        return F.struct(F.array_append(s["out"], ok).alias("out"), F.when(ok, F.array_append(live, t)).otherwise(live).alias("log"))
+def idle_stretches(requests: DataFrame, window: int) -> DataFrame:
+    """``requests`` with (__b, __s): the bucket of ``window`` seconds and the stretch it belongs to. After a bucket without a
+    request of its client, the log of a sliding window is empty, so stretches are independent of each other.
 
-    return F.aggregate(times, start, step, lambda s: s["out"])
+    Only buckets are sorted by client, not requests: they are made distinct before the shuffle."""
+    placed = requests.withColumn("__b", F.floor(F.col("epoch") / window))
+    by_client = Window.partitionBy("client").orderBy("__b")
+    used = placed.select("client", "__b").distinct().withColumn("__new", (~F.lag("__b").over(by_client).eqNullSafe(F.col("__b") - 1)).cast("int"))
+    stretches = used.select("client", "__b", F.sum("__new").over(by_client.rowsBetween(Window.unboundedPreceding, 0)).alias("__s"))
+    return placed.join(stretches, ["client", "__b"])
 
 
 def sliding_log(requests: DataFrame, most: int, window: int) -> DataFrame:
     """(event_id, allowed): at most ``most`` admitted requests of a client in any ``window`` seconds up to now.
 
-    A client's requests are split where a pause of a whole window empties its log, so a client that makes a third of
-    all requests is many independent stretches, each a fold of its own."""
-    order = Window.partitionBy("client").orderBy("epoch", "event_id")
-    pause = F.coalesce(F.col("epoch") - F.lag("epoch").over(order) >= window, F.lit(True)).cast("int")
-    stretches = requests.withColumn("__new", pause).withColumn("__s", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    logs = stretches.groupBy("client", "__s").agg(F.array_sort(F.collect_list(F.struct("epoch", "event_id"))).alias("r"))
-    told = logs.select(F.explode(F.arrays_zip(F.col("r"), admitted_log(F.transform("r", lambda x: x["epoch"]), most, window).alias("ok"))).alias("x"))
-    return told.select("x.r.event_id", F.col("x.ok").alias("allowed"))
+    Refused requests do not count, which no frame of a window can say, so it is a fold: over requests sorted by stretch
+    (see idle_stretches), one after the other, with a log of at most ``most`` times. A client that makes a third of all
+    requests is as many stretches as it has idle buckets; one that never pauses is one stretch, which is sorted, not
+    collected. Requests with a null client take no part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, log = None, deque()
+        for frame in frames:
+            allowed = []
+            for client, s, now in zip(frame["client"].tolist(), frame["__s"].tolist(), frame["epoch"].tolist()):
+                if (client, s) != stretch:
+                    stretch, log = (client, s), deque()
+                while log and log[0] <= now - window:
+                    log.popleft()
+                allowed.append(len(log) < most)
+                if allowed[-1]:
+                    log.append(now)
+            yield pd.DataFrame({"event_id": frame["event_id"], "allowed": pd.Series(allowed, index=frame.index, dtype=bool)})
+
+    rows = idle_stretches(requests.select("event_id", "client", "epoch").where(F.col("client").isNotNull()), window)
+    sorted_rows = rows.repartition("client", "__s").sortWithinPartitions("client", "__s", "epoch", "event_id")
+    return pandas_mapped(sorted_rows, run, f"event_id {requests.schema['event_id'].dataType.simpleString()}, allowed boolean")
 
 
 def window_counts(requests: DataFrame, window: int) -> DataFrame:

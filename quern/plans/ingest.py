@@ -46,7 +46,7 @@ def ag4_group_digest(spark, base):
 
 
 def sc5_content_revision(spark, base):
-    one = _docs(spark, base).groupBy("source_id", "relative_path").agg(F.min("text").alias("text"))
+    one = _docs(spark, base).groupBy("source_id", "relative_path").agg(F.min("text").alias("text")).where("text is not null")
     return ingest.content_digest(one, "source_id", "relative_path", "text")
 
 
@@ -131,6 +131,8 @@ SELECT a.content_hash, a.n - coalesce(c.n, 0) AS removed FROM a LEFT JOIN c USIN
     "jn9_missing_sources": "SELECT source_id FROM source_catalog WHERE source_id NOT IN (SELECT source_id FROM source_document WHERE content_type = 'pdf')",
     "ag2_documents_per_source": "SELECT source_id, count(DISTINCT document_id) AS documents, count(*) AS deliveries FROM source_document GROUP BY 1",
     "pf17_outcomes": "SELECT source, CASE WHEN text IS NULL THEN 'failed' WHEN length(trim(text, ' ')) < 40 THEN 'skipped' ELSE 'accepted' END AS outcome, count(*) AS n FROM documents GROUP BY ALL",
+    "sc5_content_revision": """WITH o AS (SELECT source_id, relative_path AS p, min(text) AS t FROM source_document GROUP BY ALL)
+SELECT source_id, sha256(unhex(string_agg(hex(encode(p)) || '00' || sha256(t), '' ORDER BY p))) AS digest FROM o WHERE t IS NOT NULL GROUP BY 1""",
     "ag16_representative": "SELECT source_id, min(chunk_id) AS chunk_id FROM chunk_record GROUP BY 1",
     "jn1_nested_relations": """WITH r AS (SELECT trim(dosje_id, ' ') AS id, count(*) AS n, string_agg(concat_ws('/', emri, roli), '; ' ORDER BY rec_no) AS p FROM lidhje WHERE dosje_id IS NOT NULL GROUP BY 1)
 SELECT rec_no, coalesce(n, 0) AS n, sha256(concat_ws(chr(10), CASE WHEN trim(titull, ' ') <> '' THEN 'Title: ' || trim(titull, ' ') END, CASE WHEN trim(kategori, ' ') <> '' THEN 'Category: ' || trim(kategori, ' ') END,

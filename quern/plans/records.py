@@ -198,6 +198,10 @@ SELECT request_id, question, answer AS interpretation, item_id % 3 = 0 AS recent
   WHEN load_no % 3 = 0 THEN 'Research page-access record: body_read. This describes the author''s research; the original page was not re-fetched during ingestion.' ELSE '' END, '<evidence>', coalesce(text, ''), '</evidence>'), chr(10) || chr(10) ORDER BY load_no) AS t FROM source_document GROUP BY 1)
 SELECT item_id - 1 AS request_id, sha256(CASE WHEN item_id % 2 = 0 THEN 'Recent conversation (unverified context, never evidence):' || chr(10) || '<conversation>' || chr(10) || 'Visitor: ' || question || chr(10) || '</conversation>' || chr(10) || chr(10) ELSE '' END
   || 'Visitor question:' || chr(10) || question || chr(10) || chr(10) || 'Evidence blocks:' || chr(10) || chr(10) || coalesce(t, '')) AS h FROM eval_item LEFT JOIN b ON r = item_id - 1 WHERE question IS NOT NULL""",
+    "sf29_rich_blocks": f"""WITH b AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n\\s*', chr(1), 'g'), chr(1))) AS b FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x, {_BLANKS})), lambda x: x <> '') AS l FROM b WHERE trim(b, {_BLANKS}) <> ''),
+k AS (SELECT doc_id, CASE WHEN len(list_filter(l, lambda x: x[1:2] IN ('- ', '* '))) = len(l) THEN 'list' WHEN len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]+[.)] '))) = len(l) THEN 'ordered' ELSE 'paragraph' END AS kind, len(l) AS c FROM l)
+SELECT doc_id, kind, count(*) AS n, CAST(sum(CASE WHEN kind = 'paragraph' THEN 1 ELSE c END) AS BIGINT) AS items FROM k GROUP BY ALL""",
     "sf30_refusal": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'unavailable' WHEN 1 THEN CASE WHEN event_id % 4 = 0 THEN 'daily_quota_exhausted' ELSE 'too_many_requests' END ELSE 'request_failed' END AS reason FROM events",
     "so8_in_order": "SELECT event_id // 64 AS batch, string_agg(user_id, ',' ORDER BY event_id) AS users FROM events GROUP BY 1",
     "se9_same_set": "SELECT dosje_id, bool_and(lloji IS NULL OR EXISTS (SELECT 1 FROM lidhje y WHERE y.dosje_id IS NOT DISTINCT FROM x.dosje_id AND y.lloji = x.lloji AND y.rec_no % 2 = 0)) AS same FROM lidhje x GROUP BY 1",

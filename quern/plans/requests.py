@@ -13,11 +13,10 @@ def _requests(spark, base):
 
 
 def _turns(spark, base):
-    """Conversations of the evaluation items: eight items a conversation, a question and its passage being two turns."""
-    items = table(spark, base, "eval_item").select("item_id", F.floor((F.col("item_id") - 1) / 4).alias("conv_id"), "question", "passage")
-    turn = lambda n, role, text: F.struct((F.col("item_id") * 2 + n).alias("turn"), F.lit(role).alias("role"), text.alias("text"))
-    both = F.explode(F.array(turn(0, "user", F.col("question")), turn(1, "assistant", F.concat("passage", F.lit("  [S1] [S12]"))))).alias("x")
-    return items.select("conv_id", both).select("conv_id", "x.*")
+    """Every event is a turn of its user's conversation, questions and answers in no strict turn; answers carry marks."""
+    n = F.col("event_id")
+    text = F.concat(F.repeat(F.concat("event_type", F.lit(" ")), (n % 60).cast("int")), F.col("props"), F.when(n % 2 == 0, F.lit("")).otherwise(F.lit("  [S1] [S12]")))
+    return table(spark, base, "events").select(F.col("user_id").alias("conv_id"), n.alias("turn"), F.when(n % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(n % 17 > 0, text).alias("text"))
 
 
 def quota_coupled_windows(spark, base):
@@ -62,8 +61,8 @@ def st10_props_variant(spark, base):
 QUERIES = {f.__name__: f for f in (quota_coupled_windows, sliding_log_limiter, tumbling_counts, counter_read, history_budget_server, history_budget_client, history_budget_replay, transcript_render, st10_props_variant)}
 
 _E = "SELECT event_id, user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events"
-_T = """t AS (SELECT (item_id - 1) // 4 AS conv_id, item_id * 2 AS turn, 'user' AS role, question AS text FROM eval_item
-UNION ALL SELECT (item_id - 1) // 4, item_id * 2 + 1, 'assistant', passage || '  [S1] [S12]' FROM eval_item)"""
+_T = """t AS (SELECT user_id AS conv_id, event_id AS turn, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+  CASE WHEN event_id % 17 > 0 THEN repeat(event_type || ' ', event_id % 60) || props || CASE WHEN event_id % 2 = 0 THEN '' ELSE '  [S1] [S12]' END END AS text FROM events)"""
 
 SQL = {
     "quota_coupled_windows": f"""WITH e AS ({_E}), a AS (SELECT *, epoch // 3600 AS c, epoch // 86400 AS d, row_number() OVER (PARTITION BY client, epoch // 3600 ORDER BY epoch, event_id) AS rn FROM e),

@@ -107,3 +107,8 @@ def test_publication(spark, tmp_path):
             refused()
     assert store.rollback(one, two)["status"] == "active" and store.current() == one and store.manifest(two)["status"] == "superseded"
     assert store.chunks(one).where("source_id = 's2'").count() == 1
+    assert store.audit().where("outcome = 'active'").count() == 3 and "embedding" not in store.passages(one).columns
+    with store._writing():
+        with pytest.raises(PublicationError):
+            store.rollback(two, one)
+    assert store.rollback(two, one)["status"] == "active" and not store.unlock()
