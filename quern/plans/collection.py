@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import collector, evaluation
+from quern.plans.scalars import _lines_sql
 from quern.sources import markup
 from quern.sources.tables import table
 
@@ -18,19 +19,22 @@ def _docs(spark, base):
 
 
 def _pages(spark, base):
-    """A page for each document: a head, a menu, the title and the words of the text in one paragraph, and a script."""
-    plain = F.regexp_replace("text", r"[^\p{L}\p{N} .,]", "")
+    """A page for each document: two heads, menus and forms inside what counts, elements without an end, character references,
+    and the text itself with whatever it holds, escaped."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     html = F.concat(
-        F.lit("<html><head><meta property='og:title' content='"), F.col("document_id"), F.lit("'><meta property='og:title' content='x'><link rel='canonical' href='"), F.col("canonical_url"),
-        F.lit("'></head><body><nav>menu</nav><main class='a b'><h1>"), F.col("document_id"), F.lit("</h1><script>var x = 1;</script><p>"), plain, F.lit("</p><a href='/news/"), F.col("load_no").cast("string"),
-        F.lit("/?utm=1'>n</a><a href='https://other.example/news/9/'>o</a></main></body></html>"),
+        F.lit("<!doctype html><html><head><meta property='og:title' content='"), F.col("document_id"), F.lit(" &amp; <b>more</b>'><meta property='og:title' content='x'><meta name=empty content=''><link rel='next' href='/n'><link rel='alternate canonical' href='"), F.col("canonical_url"),
+        F.lit("'></head><body><head><meta name='late' content='y'></head><nav>menu</nav><p>before</p><main class='other'><!-- <main class='b'> --></main><main class='a b'><nav><ul><li>menu &gt; <b>x</b></li></ul></nav><h1>"), F.col("document_id"),
+        F.lit(" &amp;&nbsp;<i>more</i></h1><script>var x = '<p>1</p>';</script><div>first<br>second &eacute;&#233;</div><form><p>hidden</p><input name=q></form><img src=x alt='no'>A passage that every page has, so that none is too short to count.<p>"), escaped,
+        F.lit("</p><a href='/news/"), F.col("load_no").cast("string"), F.lit("/?utm=1#top'>n</a><a href='https://other.example/news/9/'>o</a><a>none</a><A HREF='../news/"), F.col("load_no").cast("string"),
+        F.lit("/x/'>deep</A></main><p>after</p></body></html>"),
     )
     return _docs(spark, base).select("load_no", F.col("canonical_url").alias("url"), html.alias("html"))
 
 
 def sc17_main_text(spark, base):
     found = markup.main_texts(_pages(spark, base), "load_no", css_class="b")
-    return found.select("load_no", "title", F.sha2(F.regexp_replace("text", r"\s+", " "), 256).alias("h"))
+    return found.select("load_no", "title", F.sha2("text", 256).alias("h"))
 
 
 def sc16_link_discovery(spark, base):
@@ -42,8 +46,13 @@ def sc18_head_fields(spark, base):
 
 
 def sc19_sitemap_entries(spark, base):
-    entry = F.concat(F.lit("<url><loc>"), "canonical_url", F.lit("</loc><lastmod>"), F.date_format("fetched_at", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
-    maps = _docs(spark, base).groupBy("source_id").agg(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</urlset>")).alias("html"))
+    """Sitemaps with and without a prefix for their name space, some with a page map that is no XML."""
+    prefix = F.when(F.length("source_id") % 2 == 0, "s:").otherwise("")
+    broken = F.when(F.col("load_no") % 9 == 0, "<PageMap>a & b < c</PageMap>").otherwise("")
+    tag = lambda name, value: F.concat(F.lit("<"), prefix, F.lit(name + ">"), value, F.lit("</"), prefix, F.lit(name + ">"))
+    entry = tag("url", F.concat(tag("loc", F.concat(F.lit(" "), F.replace("canonical_url", F.lit("&"), F.lit("&amp;")), F.lit("?a=1&amp;b=2 "))), F.when(F.col("load_no") % 4 > 0, tag("lastmod", F.date_format("fetched_at", "yyyy-MM-dd"))).otherwise(""), broken))
+    space = F.concat(F.lit("<?xml version='1.0'?><"), prefix, F.lit("urlset xmlns"), F.when(prefix == "", "").otherwise(":s"), F.lit("='http://www.sitemaps.org/schemas/sitemap/0.9'>"))
+    maps = _docs(spark, base).groupBy("source_id").agg(F.concat(F.first(space), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</"), F.first(prefix), F.lit("urlset>")).alias("html"))
     return markup.sitemap_rows(maps.withColumn("url", F.lit("")), "source_id").groupBy("source_id", "link").agg(F.max("lastmod").alias("lastmod"))
 
 
@@ -167,7 +176,6 @@ QUERIES = {f.__name__: f for f in (
     sf15_topic_rules, ag9_peak_summary, pf30_per_language, ag10_map_totals, sf31_eval_rules, ag17_suite_passed, sc23_event_streams, st11_complete_streams, so9_random_pick, ud8_conversation_replay, sk13_report,
 )}
 
-_PLAIN = "regexp_replace(text, '[^\\p{L}\\p{N} .,]', '', 'g')"
 _ROB = "WITH p AS (SELECT load_no, regexp_extract(canonical_url, '^https?://[^/]+(/.*)$', 1) AS p FROM source_document)"
 _EV = """a AS (SELECT item_id, suite, lang, min_citations, CASE WHEN item_id % 9 = 0 THEN '' WHEN item_id % 5 = 0 THEN '# Head' || chr(10) || 'E.G. nr. 5 ' || passage || ' [S1]' ELSE passage || ' [S' || (item_id % 4) || ']' END AS t, (item_id % 4) AS k FROM eval_item),
 b AS (SELECT *, trim(coalesce(t, '')) AS a FROM a),
@@ -181,10 +189,11 @@ f AS (SELECT item_id AS case_id, suite, lang, array_to_string(list_filter([
   ], lambda x: x IS NOT NULL), ',') AS failures FROM b)"""
 
 SQL = {
-    "sc17_main_text": f"SELECT load_no, document_id AS title, sha256(trim(regexp_replace(document_id || ' ' || {_PLAIN} || ' no', '\\s+', ' ', 'g'), ' ')) AS h FROM source_document WHERE text IS NOT NULL AND length({_PLAIN}) >= 50",
-    "sc16_link_discovery": "SELECT load_no, regexp_extract(canonical_url, '^https?://[^/]+') || '/news/' || load_no || '/' AS link FROM source_document",
-    "sc18_head_fields": "SELECT load_no, 'og:title' AS field, document_id AS value FROM source_document UNION ALL SELECT load_no, 'canonical', canonical_url FROM source_document",
-    "sc19_sitemap_entries": "SELECT source_id, canonical_url AS link, strftime(max(fetched_at), '%Y-%m-%d') AS lastmod FROM source_document GROUP BY ALL",
+    "sc17_main_text": f"""SELECT load_no, document_id || ' & more' AS title, sha256(trim(regexp_replace(document_id || ' &' || chr(160) || 'more' || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || 'second éé' || chr(10) || chr(10)
+  || 'A passage that every page has, so that none is too short to count.' || chr(10) || chr(10) || coalesce(nullif({_lines_sql("text", "trim")}, '') || chr(10) || chr(10), '') || 'nononedeep', chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), ' ')) AS h FROM source_document WHERE text IS NOT NULL""",
+    "sc16_link_discovery": "SELECT load_no, regexp_extract(canonical_url, '^https?://[^/]+') || '/news/' || load_no || '/' AS link FROM source_document WHERE text IS NOT NULL",
+    "sc18_head_fields": "SELECT load_no, 'og:title' AS field, document_id || ' & more' AS value FROM source_document WHERE text IS NOT NULL UNION ALL SELECT load_no, 'canonical', canonical_url FROM source_document WHERE text IS NOT NULL",
+    "sc19_sitemap_entries": "SELECT source_id, canonical_url || '?a=1&b=2' AS link, strftime(max(CASE WHEN load_no % 4 > 0 THEN fetched_at END), '%Y-%m-%d') AS lastmod FROM source_document GROUP BY ALL",
     "sc20_robots": _ROB + """ SELECT load_no, CASE WHEN starts_with(p, '/news/00000001') THEN FALSE WHEN starts_with(p, '/pdf/0') THEN TRUE ELSE NOT contains(p, 'pdf') END AS own,
   CASE WHEN starts_with(p, '/map/') THEN regexp_matches(p, '^/map/.*-2$') ELSE TRUE END AS other FROM p""",
     "ag11_max_lastmod": "SELECT canonical_url AS url, max(CASE WHEN load_no % 3 > 0 THEN fetched_at END) AS lastmod FROM source_document GROUP BY 1",

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import files, literals, markup
+from quern.sources import files, literals, markup, parsers
 from quern.sources.publication import PublicationError, Store
 
 SCRIPT = """// a header
@@ -89,6 +89,43 @@ def test_pages():
     assert markup.robots_rules("User-agent: *\nDisallow:\n", "q") == [(0, True, "^")]
 
 
+def test_robots():
+    text = "User-agent: *\nDisallow: /\nContent-Signal: search=yes, use=full\n\nUser-Agent: quern\nuser-agent: other\nCrawl-delay: 2\nRequest-rate: 1/5s # slow\nAllow: /a*b$\nContent-Signal: use=reference\n"
+    own = markup.robots(text, "Quern/1.0")
+    assert own.rules == ((3, True, "^/a.*b$"),) and own.delay == 5 and own.signals == {"search": "yes", "use": "reference"} and own.may_index
+    assert markup.robots(text, "third").rules == ((1, False, "^/"),)
+    assert not markup.robots("User-agent: *\nContent-Signal: search=no, search=yes", "q").may_index
+    for bad in ("Crawl-delay: 61", "Request-rate: 0/5", "Content-Signal: use=never"):
+        with pytest.raises(ValueError):
+            markup.robots(f"User-agent: *\n{bad}\n", "q")
+
+
+def test_parsers_refuse_what_is_not_whole(spark):
+    def made(parse, value):
+        return parse(spark.createDataFrame([("f", json.dumps(value) if not isinstance(value, str) else value)], "path string, value string")).collect()
+
+    research = lambda df: parsers.research_documents(df, "R")
+    source = {"outlet": "O", "url": "https://o.example/1", "summary": "s", "access": "body read"}
+    good = {"day": 3, "calendar_date": "2025-06-01", "sources": [source, source | {"url": "https://youtu.be/x"}, source | {"access": "snippet"}]}
+    assert [r["canonical_url"] for r in made(research, good)] == ["https://o.example/1"]
+    for bad in (good | {"day": 0}, good | {"sources": []}, good | {"calendar_date": "2025-13-01"}, good | {"extra": 1}, good | {"sources": [source | {"inner": 1}]}, good | {"sources": [source | {"url": "ftp://x"}]}, good | {"sources": [source | {"summary": ""}]}):
+        with pytest.raises(Exception):
+            made(research, bad)
+    places = lambda df: parsers.place_documents(df, "Map")
+    place = {"id": "p", "city": "C", "country": "X", "protests": [{"id": "e", "title": "T", "startDate": "2025-06-01"}]}
+    assert sorted(r["suffix"] for r in made(places, [place])) == ["city:p", "overview", "protest:e"]
+    for bad in ([], [place | {"id": " "}], [{"id": "p", "city": "C"}], [place | {"protests": [{"id": "e", "title": "T"}]}]):
+        with pytest.raises(Exception):
+            made(places, bad)
+    with pytest.raises(Exception):
+        made(lambda df: parsers.series_documents(df, "S"), "export const participation = [];")
+    told = spark.createDataFrame([("a.md", "text", '{"title": "t", "canonical_url": "https://a.example/", "source_label": "A", "snapshot_date": "2025-06-01"}'), ("b.md", "text", '{"title": "t"}')], "relative_path string, text string, meta string")
+    (got,) = parsers.snapshot_documents(told.where("relative_path = 'a.md'")).collect()
+    assert got["canonical_url"] == "https://a.example/" and "2025-06-01" in got["sticky_context"]
+    with pytest.raises(Exception):
+        parsers.snapshot_documents(told).collect()
+
+
 def test_publication(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     one, two, bad = "20250101T000000Z-" + "a" * 12, "20250102T000000Z-" + "b" * 12, "20250103T000000Z-" + "c" * 12
