@@ -53,12 +53,12 @@ def transcript_render(spark, base):
     return conversation.transcript(_turns(spark, base).where("text is not null"))
 
 
-def st10_props_variant(spark, base):
+def props_variant(spark, base):
     props = table(spark, base, "events").select("event_id", F.try_parse_json("props").alias("v"))
     return props.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k")).where("k >= 50")
 
 
-QUERIES = {f.__name__: f for f in (quota_coupled_windows, sliding_log_limiter, tumbling_counts, counter_read, history_budget_server, history_budget_client, history_budget_replay, transcript_render, st10_props_variant)}
+QUERIES = {f.__name__: f for f in (quota_coupled_windows, sliding_log_limiter, tumbling_counts, counter_read, history_budget_server, history_budget_client, history_budget_replay, transcript_render, props_variant)}
 
 _E = "SELECT event_id, user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events"
 _T = """t AS (SELECT user_id AS conv_id, event_id AS turn, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
@@ -88,5 +88,5 @@ l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r
 s AS (SELECT *, 1000 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM l WHERE r <= 6)
 SELECT conv_id, turn, role, CASE WHEN n <= b THEN text ELSE rtrim(text[:b - 1]) || '…' END AS text FROM s WHERE b > 1""",
     "transcript_render": f"WITH {_T} SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Visitor: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS transcript FROM t WHERE text IS NOT NULL GROUP BY 1",
-    "st10_props_variant": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50",
+    "props_variant": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50",
 }
