@@ -31,8 +31,10 @@ def kept_turns(turns: Column, budget: int) -> Column:
 def server_history(turns: DataFrame, most_turns: int, budget: int) -> DataFrame:
     """(conv_id, turn, role, text) of the turns a conversation goes on with. Blank turns go first, then all but the last
     ``most_turns``, then the budget; roles other than user and assistant take no part."""
-    clean = turns.where(F.col("role").isin("user", "assistant")).withColumn("text", clean_turn(F.col("role"), F.col("text"))).where("text <> ''")
-    last = clean.withColumn("__r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("__r") <= most_turns)
+    # Whether a turn is blank is asked of all of them, but only the last few are cleaned.
+    told = F.when(F.col("role") == "assistant", F.regexp_replace("text", r"\[S\d+\]", " ")).otherwise(F.col("text")).rlike(f"[^{WS[1:]}")
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    last = turns.where(F.col("role").isin("user", "assistant") & told).withColumn("__r", newest).where(F.col("__r") <= most_turns).withColumn("text", clean_turn(F.col("role"), F.col("text")))
     packed = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return packed.select("conv_id", F.explode(kept_turns(F.col("t"), budget)).alias("x")).select("conv_id", "x.*")
 
