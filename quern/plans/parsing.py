@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.plans.scalars import _BLANKS, _normal_sql
@@ -31,12 +32,19 @@ def ud1_places(spark, base):
     return _told(parsers.place_documents(_maps(spark, base), "Map"), "path", "content_type")
 
 
+#: A made index of reports is full at so many bytes, half of what the parser takes: one more report fits. It spans so many load numbers at most.
+_FULL, _SPAN = 1_000_000, 10_000
+
+
 def ud1_research(spark, base):
+    """For each source as many indexes as its reports fill, in order of their load numbers."""
     n = F.col("load_no")
     access = F.element_at(F.array(*map(F.lit, ("body opened", "Indexed text: read", "search-result only", "", "failed"))), (n % 5 + 1).cast("int"))
     source = F.struct(F.col("source_label").alias("outlet"), F.when(n % 3 > 0, F.col("title")).alias("title"), F.when(n % 11 == 0, F.lit("https://youtu.be/x")).otherwise(F.col("canonical_url")).alias("url"), F.when(n % 2 == 0, F.date_format("fetched_at", "yyyy-MM-dd")).alias("event_date"), access.alias("access"), F.concat(F.lit("x "), F.substring("text", 1, 300)).alias("summary"))
-    docs = table(spark, base, "source_document").where("trim(source_label) <> '' and text is not null")
-    files = docs.groupBy(F.col("source_id").alias("path")).agg(F.to_json(F.struct(F.lit(7).alias("day"), F.lit("2025-06-07").alias("calendar_date"), F.collect_list(source).alias("sources"))).alias("value"))
+    docs = table(spark, base, "source_document").where("trim(source_label) <> '' and text is not null").select(F.col("source_id").alias("path"), "load_no", (n - n % _SPAN).alias("span"), source.alias("s"))
+    before = F.sum(F.octet_length(F.to_json("s")) + 1).over(Window.partitionBy("path", "span").orderBy("load_no").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = docs.withColumn("number", F.floor(F.coalesce(before, F.lit(0)) / _FULL))
+    files = numbered.groupBy("path", "span", "number").agg(F.to_json(F.struct(F.lit(7).alias("day"), F.lit("2025-06-07").alias("calendar_date"), F.collect_list("s").alias("sources"))).alias("value"))
     found = parsers.research_documents(files, "Research")
     return found.select("path", "canonical_url", F.get_json_object("metadata", "$.evidence_access").alias("access"), F.length("title").cast("bigint").alias("n"))
 

@@ -153,9 +153,10 @@ def research_documents(files: DataFrame, label: str, key: str = "path", value: s
     hosts and those whose page was not read. A day below 1, a bad date, an empty list, an address that is no web address
     and a report without outlet or summary are errors."""
     d = closed_json(files.select(key, value), _RESEARCH, value, 2_000_000)
-    ok = (F.col("d.day") >= 1) & F.try_to_date("d.calendar_date", "yyyy-MM-dd").isNotNull() & (F.size("d.sources") > 0)
+    whole = d.select(key, "d.day", "d.calendar_date", F.sha2(value, 256).alias("revision"), "d.sources")  # the digest once a file, not once a report
+    ok = (F.col("day") >= 1) & F.try_to_date("calendar_date", "yyyy-MM-dd").isNotNull() & (F.size("sources") > 0)
     sources = "array<" + _RESEARCH.split("array<")[1]
-    each = d.select(key, "d.day", "d.calendar_date", F.sha2(value, 256).alias("revision"), F.explode(F.when(ok, F.col("d.sources")).otherwise(F.raise_error(F.lit("an index lacks its day, date or sources")).cast(sources))).alias("s"))
+    each = whole.select(key, "day", "calendar_date", "revision", F.explode(F.when(ok, F.col("sources")).otherwise(F.raise_error(F.lit("an index lacks its day, date or sources")).cast(sources))).alias("s"))
     one = lambda f: rewritten(F.regexp_replace(F.coalesce(F.col(f"s.{f}"), F.lit("")), r"\s+", " "), STRIP)
     host = F.lower(F.regexp_extract(one("url"), r"^[A-Za-z]+://([^/?#:]+)", 1))
     access = F.translate(F.lower(one("access")), "_-", "  ")

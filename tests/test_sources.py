@@ -1,10 +1,13 @@
 """Files, literals, pages and publication on small made inputs."""
 
+import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quern.plans import parsing
 from quern.sources import files, literals, markup, parsers
 from quern.sources.publication import PublicationError, Store
 
@@ -126,6 +129,25 @@ def test_parsers_refuse_what_is_not_whole(spark):
         parsers.snapshot_documents(told).collect()
 
 
+def test_research_of_a_source_beyond_one_index(spark, tmp_path):
+    n = F.col("id")
+    label = F.when(n % 50 == 0, " Small  one ").when(n % 50 == 1, " ").otherwise("Large")
+    text = F.when(n % 50 != 2, F.repeat(F.lit("ë"), 400))
+    docs = spark.range(8_000, 14_000).select(n.alias("load_no"), F.when(n % 50 == 0, "small").otherwise("large").alias("source_id"), label.alias("source_label"), F.concat(F.lit("https://o.example/"), n).alias("canonical_url"), F.concat(F.lit("  Title "), n).alias("title"), text.alias("text"), F.lit("2025-06-01 10:00:00").cast("timestamp_ntz").alias("fetched_at"))
+    docs.write.parquet(str(tmp_path / "source_document.parquet"))
+    got = [tuple(r) for r in parsing.ud1_research(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW source_document AS SELECT * FROM read_parquet('{tmp_path}/source_document.parquet/*.parquet')")
+    want = con.execute(parsing.SQL["ud1_research"]).fetchall()
+    assert len(want) > 3_000 and sorted(got, key=repr) == sorted(want, key=repr)
+    source = {"outlet": "O", "url": "https://o.example/1", "summary": "s" * 900, "access": "body read"}
+    one, large = (json.dumps({"day": 3, "calendar_date": "2025-06-01", "sources": [source] * k}) for k in (2, 3_000))
+    read = lambda v: parsers.research_documents(spark.createDataFrame([("f", v)], "path string, value string"), "R").collect()
+    assert [json.loads(r["metadata"])["revision"] for r in read(one)] == [hashlib.sha256(one.encode()).hexdigest()] * 2
+    with pytest.raises(Exception, match="too large"):
+        read(large)
+
+
 def test_publication(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     one, two, bad = "20250101T000000Z-" + "a" * 12, "20250102T000000Z-" + "b" * 12, "20250103T000000Z-" + "c" * 12
